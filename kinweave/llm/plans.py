@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import groups, neighbours, ranking, seen
-from kinweave.sources.tables import table
+from kinweave.llm import canonical, groups, neighbours, packing, ranking, seen, tokens
+from kinweave.sources.tables import current_rows, table
 from kinweave.storage import Scratch
 
 SEEN = {"blobs": seen.blob_key, "entity_deterministic_ids": seen.identifier_key}
@@ -44,6 +44,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(nearest).select(F.col("field").alias("vector_field"), "id_a", "id_b")
 
 
+def _mapped(spark: SparkSession, folder: str) -> DataFrame:
+    candidates = table(spark, folder, "type_candidates")
+    mapped = canonical.map_names(candidates.select(F.col("proposed_name").alias("name")), table(spark, folder, "type_catalog"), Scratch(spark, "canonical"))
+    return canonical.assign(candidates, mapped)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mapped(spark, folder)
+
+
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _mapped(spark, folder).where("type_id = ''").select("candidate_id")
+    names = current_rows(table(spark, folder, "type_candidates"), "candidate_id", "proposed_name")
+    return names.join(rows, "candidate_id", "left_semi").groupBy("proposed_name").agg(F.count(F.lit(1)).alias("candidates"))
+
+
 POINTERS = {"entities": ("entity_id", "canonical_entity_id"), "type_candidates": ("candidate_id", "merged_into_candidate_id")}
 
 
@@ -65,7 +81,24 @@ def p6_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.full_ranking(_closeness(spark, folder)).select(F.col("group_id").alias("observation_id"), F.col("member").alias("entity_id"), F.round("closeness", 6).alias("closeness"), "place")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p5_found, p6_found, p6_ranking)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encoded(table(spark, folder, "documents"))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = tokens.token_counts(table(spark, folder, "documents"))
+    return packing.packed(sizes.withColumnRenamed("doc_id", "id"), Scratch(spark, "packing"))
+
+
+def p9_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).select("window_id", F.col("id").alias("doc_id"), "start", "length")
+
+
+def p9_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.usage(_packed(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_unmatched, p5_found, p6_found, p6_ranking, p8_ids, p9_windows, p9_usage)}
 
 _W = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 _SEEN = f"""
