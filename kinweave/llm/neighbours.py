@@ -23,9 +23,9 @@ from kinweave.llm.vptree import VPTree, shard_search
 from kinweave.storage import Scratch
 
 #: Routing trees; directions in a shard; directions in a leaf of a shard's tree.
-TREES, SHARD, LEAF = 4, 24_000, 256
+TREES, SHARD, LEAF = 2, 48_000, 256
 #: Relaxation of the triangle inequality within a shard and between shards; 1 and 1 give exact search.
-FACTOR, SHARD_FACTOR = 10.0, 40.0
+FACTOR, SHARD_FACTOR = 10.0, 25.0
 #: Directions to which the routing trees of a field are fitted, all of them in the driver; every direction is then indexed.
 ROUTING_SAMPLE = 12_000
 #: Most shards of a tree: each needs some points of the sample. Beyond, shards grow and their own trees deepen.
@@ -90,7 +90,7 @@ def _routers(points: DataFrame, counts: dict[str, int], trees: int, shard: int,
     routers = {}
     for field, n in counts.items():
         if n <= shard:
-            routers[field] = [VPTree.build(np.zeros((0, 1), np.float32), 1)]
+            routers[field] = [VPTree.build(np.zeros((0, 1), np.float32), 1)] * trees  # one shard, searched with a tree of its own each time
             continue
         shards = min(MOST_SHARDS, 1 << math.ceil(math.log2(n / shard)))
         share = min(1.0, 1.3 * sample / n)
@@ -135,19 +135,19 @@ def all_nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, least: float =
             own = table.filter(pa.array(numbers == number))
             pid = own.column("pid").to_numpy()
             v = decode(own.column("code").to_pylist())
-            alone = len(routers.value[names[number // MOST_SHARDS // trees]]) == 1
-            for seed in range(2 if alone else 1):  # a field that is one shard has no second routing tree to make up for pruned leaves
-                a, b, cos = shard_search(v, own.column("home").to_numpy(), k, least, factor, leaf, 2 * int(number) + seed)
-                yield pa.RecordBatch.from_arrays([pa.array(pid[a], pa.int64()), pa.array(pid[b], pa.int64()), pa.array(cos.astype(np.float64))], names=["a", "b", "cos"])
+            a, b, cos = shard_search(v, own.column("home").to_numpy(), k, least, factor, leaf, int(number))
+            # A pair that both sides found goes out once.
+            pair, once = np.unique(np.minimum(a, b) * len(v) + np.maximum(a, b), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pid[pair // len(v)], pa.int64()), pa.array(pid[pair % len(v)], pa.int64()), pa.array(cos[once].astype(np.float64))], names=["a", "b", "cos"])
 
     routed = points.select("field", "pid", "code").mapInArrow(route, "shard int, pid long, home boolean, code binary")
     shards = sum(len(r) * r[0].leaves for r in routers.value.values())
     dealt = routed.repartition(max(1, min(shards, 4096)), "shard")
     near = dealt.mapInArrow(search, "a long, b long, cos double")
+    pairs = scratch.save(near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cos").alias("cos")), "pairs")
     # A pair that one side found serves the other too.
-    near = scratch.save(near, "near")
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
-    best = both.groupBy("a", "b").agg(F.max("cos").alias("cos")).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cos").desc(), "b"))).where(F.col("rank") <= k).drop("rank")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+    best = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cos").desc(), "b"))).where(F.col("rank") <= k).drop("rank")
     return _members(vectors, points, best, scratch, k)
 
 
