@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import canonical, groups, neighbours, packing, ranking, seen, tokens
+from kinweave.llm import canonical, groups, neighbours, packing, ranking, seen, subjects, tokens
 from kinweave.sources.tables import current_rows, table
 from kinweave.storage import Scratch
 
@@ -98,7 +98,22 @@ def p9_usage(spark: SparkSession, folder: str) -> DataFrame:
     return packing.usage(_packed(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_unmatched, p5_found, p6_found, p6_ranking, p8_ids, p9_windows, p9_usage)}
+def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents")
+    terms = subjects.learn(documents, table(spark, folder, "doc_labels"), table(spark, folder, "subjects"))
+    return documents, subjects.assign(documents, terms)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder)[1]
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    documents, found = _subjects(spark, folder)
+    return subjects.composition(documents, Scratch(spark, "subjects").save(found, "found"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_unmatched, p5_found, p6_found, p6_ranking, p8_ids, p9_windows, p9_usage, p10_found, p10_composition)}
 
 _W = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 _SEEN = f"""
