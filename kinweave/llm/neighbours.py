@@ -157,12 +157,13 @@ def _members(vectors: DataFrame, points: DataFrame, best: DataFrame, scratch: Sc
     Of equal directions only the k + 1 members with the smallest ids can be anyone's partner, and
     every member has the same list of partners but for itself.
     """
-    smallest = Window.partitionBy("field", "code").orderBy("id")
-    several = points.where("n > 1").select("field", "code", "pid")
-    copies = scratch.save(vectors.join(several, ["field", "code"]).select("field", "id", "code", "pid"), "copies")
+    key = F.unhex(F.md5("code")).alias("key")  # in the place of the longer code
+    several = points.where("n > 1").select("field", key, "pid")
+    copies = scratch.save(vectors.select("field", "id", key).join(several, ["field", "key"]).select("field", "id", "pid"), "copies")
+    smallest = Window.partitionBy("pid").orderBy("id")
     first = copies.withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= k + 1).groupBy("pid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    names = points.select("pid", "field", "n", "rep").join(first, "pid", "left").select("pid", "field", "n", F.coalesce("ids", F.array("rep")).alias("ids"))
-    names = scratch.save(names, "names")
+    alone = points.where("n = 1").select("pid", "field", "n", F.array("rep").alias("ids"))
+    names = scratch.save(alone.unionByName(points.where("n > 1").select("pid", "field", "n").join(first, "pid")), "names")
     partner = F.struct(F.round(-F.col("cos"), 7).alias("far"), F.col("ids").alias("ids"))
     others = best.join(names.select(F.col("pid").alias("b"), "ids"), "b").groupBy("a").agg(F.sort_array(F.collect_list(partner)).alias("others"))
     lists = names.join(others.withColumnRenamed("a", "pid"), "pid", "left").where("n > 1 or others is not null")
