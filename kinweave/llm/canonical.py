@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kinweave.storage import Scratch
 
 #: Least Jaccard similarity of two bigram sets. Low, as a name may have words and errors besides.
-LEAST = 0.3
+LEAST = 0.35
 #: Words without a meaning of their own, which an entry's form doesn't need.
 LINKING = frozenset({"of", "the", "a", "an"})
 
@@ -69,7 +69,7 @@ def singular(word: str) -> str:
     return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith("ss") else word
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def word_cost(word: str, meant: str) -> float | None:
     """0 for equal words, 0.5 for plurals, 1 or 1.5 with one error; None if they differ by more.
 
@@ -88,7 +88,7 @@ def word_cost(word: str, meant: str) -> float | None:
     return 1.5 if edits(singular(word), singular(meant), 1) == 1 else None
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def joined_cost(word: str, parts: tuple[str, ...]) -> float | None:
     """The cost of several words written as one, in any order, with one error for each of them."""
     if any(c.isdigit() for c in word) or abs(len(word) - sum(map(len, parts))) > len(parts):
@@ -121,37 +121,55 @@ def cost(name: list[str], form: list[str]) -> float | None:
     return None
 
 
-def _grams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, words, grams of each row."""
+def _worded(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and its words as one text; names without any word are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = pdf["_text"].map(words_of)
-            yield pd.DataFrame({key: pdf[key], "words": words, "grams": words.map(bigrams)})
+            yield pd.DataFrame({key: pdf[key], "words": pdf["_text"].map(lambda t: " ".join(words_of(t)))})
 
-    return df.select(F.col(key).cast("string").alias(key), F.col(text).cast("string").alias("_text")).mapInPandas(run, f"{key} string, words array<string>, grams array<string>")
+    rows = df.select(F.col(key).cast("string").alias(key), F.col(text).cast("string").alias("_text"))
+    return rows.mapInPandas(run, f"{key} string, words string").where("words <> ''")
 
 
-def _prefixes(sets: DataFrame, frequency: DataFrame, key: str, least: float) -> DataFrame:
-    """gram, key, size, at: the grams of each set's prefix, in order of global rarity; ``at`` counts from 0."""
-    ranked = sets.select(key, F.explode("grams").alias("gram")).join(frequency, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    size = F.size("g")
+def _sets(worded: DataFrame, number: str, scratch: Scratch) -> DataFrame:
+    """number, words, grams of each different set of words; spellings of one are compared once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(grams=pdf["words"].map(lambda w: bigrams(w.split(" "))))
+
+    once = worded.select("words").distinct().withColumn(number, F.monotonically_increasing_id())
+    return scratch.save(once.mapInPandas(run, f"words string, {number} long, grams array<string>"), f"sets-{number}")
+
+
+def _ranked(sets: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
+    """key, grams as numbers in order of global rarity."""
+    numbered = sets.select(key, F.explode("grams").alias("gram")).join(frequency, "gram")
+    return numbered.groupBy(key).agg(F.array_sort(F.collect_list("rank")).alias("grams"))
+
+
+def _prefixes(ranked: DataFrame, key: str, least: float) -> DataFrame:
+    """gram, key, size, at: the grams of each set's prefix; ``at`` counts from 0."""
+    size = F.size("grams")
     # Two sets of similarity t share a gram within the first n - ceil(t n) + 1 of each.
-    prefix = size - F.ceil(F.lit(least) * size).cast("int") + 1
-    return ranked.select(key, size.alias("size"), F.posexplode(F.slice("g", F.lit(1), prefix)).alias("at", "x")).select("x.gram", key, "size", "at")
+    prefix = size - F.ceil(F.lit(least) * size - F.lit(1e-9)).cast("int") + 1
+    return ranked.select(key, size.alias(f"{key}_size"), F.posexplode(F.slice("grams", F.lit(1), prefix)).alias(f"{key}_at", "gram"))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
+def similar_sets(left: DataFrame, right: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
     """l, r, jaccard of all pairs of sets, left (l, grams) and right (r, grams), of similarity ``least`` or more."""
     both = left.select(F.explode("grams").alias("gram")).unionByName(right.select(F.explode("grams").alias("gram")))
-    frequency = both.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    a = _prefixes(left, frequency, "l", least).select("gram", "l", F.col("size").alias("ls"), F.col("at").alias("la"))
-    b = _prefixes(right, frequency, "r", least).select("gram", "r", F.col("size").alias("rs"), F.col("at").alias("ra"))
-    fits = (F.col("ls") >= F.lit(least) * F.col("rs")) & (F.col("rs") >= F.lit(least) * F.col("ls"))
-    needed = F.ceil(F.lit(least / (1 + least)) * (F.col("ls") + F.col("rs")) - F.lit(1e-9))
+    counts = both.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # The rank puts rare grams first; equally rare ones differ by their hash, so a number stands for one gram.
+    frequency = counts.select("gram", F.struct(F.col("n"), F.xxhash64("gram").alias("h")).alias("rank"))
+    left, right = scratch.save(_ranked(left, frequency, "l"), "ranked-l"), scratch.save(_ranked(right, frequency, "r"), "ranked-r")
+    fits = (F.col("l_size") >= F.lit(least) * F.col("r_size")) & (F.col("r_size") >= F.lit(least) * F.col("l_size"))
+    needed = F.ceil(F.lit(least / (1 + least)) * (F.col("l_size") + F.col("r_size")) - F.lit(1e-9))
     # All grams before a shared one may be shared too, and all that follow in the shorter rest.
-    can = 1 + F.least("la", "ra") + F.least(F.col("ls") - F.col("la"), F.col("rs") - F.col("ra")) - 1
-    pairs = a.join(b, "gram").where(fits & (can >= needed)).select("l", "r").distinct()
+    can = F.least("l_at", "r_at") + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
+    met = _prefixes(left, "l", least).join(_prefixes(right, "r", least), "gram").where(fits & (can >= needed))
+    pairs = met.groupBy("l", "r").agg(F.count(F.lit(1)).alias("met"))
     full = pairs.join(left.select("l", F.col("grams").alias("lg")), "l").join(right.select("r", F.col("grams").alias("rg")), "r")
     shared = F.size(F.array_intersect("lg", "rg"))
     return full.withColumn("jaccard", shared / (F.size("lg") + F.size("rg") - shared)).where(F.col("jaccard") >= least).select("l", "r", "jaccard")
@@ -164,25 +182,24 @@ def map_names(names: DataFrame, catalog: DataFrame, scratch: Scratch, least: flo
     NULL, blanks and placeholders) don't come out.  The entry with the fewest errors is kept, then
     the most similar, then the smallest type_id.
     """
-    once = scratch.save(_grams(names.where("name is not null").distinct(), "name", "name").where(F.size("grams") > 0), "names")
-    forms = catalog.where("type_id is not null").select("type_id", F.explode(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where("form is not null").distinct()
-    known = scratch.save(_grams(forms.select("form").distinct(), "form", "form").where(F.size("grams") > 0), "forms")
-    # Spellings of one set of words are compared once.
-    left = once.groupBy(F.array_join("grams", "").alias("l")).agg(F.first("grams").alias("grams"))
-    right = known.groupBy(F.array_join("grams", "").alias("r")).agg(F.first("grams").alias("grams"))
-    pairs = similar_sets(left, right, least)
-    close = pairs.join(once.select(F.array_join("grams", "").alias("l"), "name", F.col("words").alias("name_words")), "l").join(known.select(F.array_join("grams", "").alias("r"), "form", F.col("words").alias("form_words")), "r")
+    once = scratch.save(_worded(names.where("name is not null").distinct(), "name", "name"), "names")
+    listed = catalog.where("type_id is not null").select("type_id", F.explode(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where("form is not null").distinct()
+    forms = scratch.save(_worded(listed.withColumn("key", F.concat("type_id", F.lit(" "), "form")), "key", "form").join(listed.withColumn("key", F.concat("type_id", F.lit(" "), "form")), "key").select("type_id", "words").distinct(), "forms")
+    left, right = _sets(once, "l", scratch), _sets(forms, "r", scratch)
+    pairs = similar_sets(left.select("l", "grams"), right.select("r", "grams"), scratch, least)
+    close = pairs.join(left.select("l", F.col("words").alias("name_words")), "l").join(right.select("r", F.col("words").alias("form_words")), "r")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            errors = [cost(list(n), list(f)) for n, f in zip(pdf["name_words"], pdf["form_words"])]
-            pdf = pdf[["name", "form", "jaccard"]].assign(errors=pd.Series(errors, index=pdf.index, dtype="float64"))
+            errors = [cost(n.split(" "), f.split(" ")) for n, f in zip(pdf["name_words"], pdf["form_words"])]
+            pdf = pdf.assign(errors=pd.Series(errors, index=pdf.index, dtype="float64"))
             yield pdf[pdf["errors"].notna()]
 
-    meant = close.select("name", "name_words", "form", "form_words", "jaccard").mapInPandas(check, "name string, form string, jaccard double, errors double")
-    entries = meant.join(forms, "form")
+    meant = close.select("name_words", "form_words", "jaccard").mapInPandas(check, "name_words string, form_words string, jaccard double, errors double")
+    entries = meant.join(forms.withColumnRenamed("words", "form_words"), "form_words")
     best = F.min_by(F.struct("type_id", "jaccard", "errors"), F.struct("errors", -F.round("jaccard", 9), "type_id"))
-    return entries.groupBy("name").agg(best.alias("b")).select("name", "b.*")
+    chosen = entries.groupBy(F.col("name_words").alias("words")).agg(best.alias("b"))
+    return once.join(chosen, "words").select("name", "b.*")
 
 
 def assign(candidates: DataFrame, mapped: DataFrame) -> DataFrame:
