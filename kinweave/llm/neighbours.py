@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from kinweave.llm.vptree import VPTree, shard_search
 from kinweave.storage import Scratch
 
-#: Routing trees; directions in a shard; directions in a leaf of a shard's tree.
-TREES, SHARD, LEAF = 2, 48_000, 256
+#: Routing trees; directions in a shard (100,000 take 13 MB as they come and 26 MB as numbers); directions in a leaf of a shard's tree.
+TREES, SHARD, LEAF = 2, 100_000, 256
 #: Relaxation of the triangle inequality within a shard and between shards; 1 and 1 give exact search.
 FACTOR, SHARD_FACTOR = 10.0, 25.0
 #: Directions to which the routing trees of a field are fitted, all of them in the driver; every direction is then indexed.
