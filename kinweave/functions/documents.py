@@ -23,7 +23,7 @@ ID_KEYS = frozenset(
 def decoded(content: Column | str) -> Column:
     """UTF-8, else Latin-1."""
     c = F.col(content) if isinstance(content, str) else content
-    return F.coalesce(F.try_validate_utf8(c.cast("string")), F.decode(c, F.lit("ISO-8859-1")))
+    return F.coalesce(F.try_validate_utf8(c.cast("string")), F.decode(c, "ISO-8859-1"))
 
 
 def text_features(text: Column | str, most: int = MOST_CHARS) -> Column:

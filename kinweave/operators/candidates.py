@@ -60,8 +60,8 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int = TOP_K, block: int = BL
             ei, e = ei[order], e[order]
             cos = np.round(q @ e.T, 12)
             best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(qi, best.shape[1]), "entity_id": ei[best].ravel(), "cosine": np.take_along_axis(cos, best, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "entity_id": [], "cosine": []})
+            out += zip(np.repeat(qi, best.shape[1]), ei[best].ravel(), np.take_along_axis(cos, best, 1).ravel())
+        return pd.DataFrame(out, columns=["query_id", "entity_id", "cosine"])
 
     cells = both.groupBy("qb", "pb").applyInPandas(top, "query_id string, entity_id string, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "entity_id")
