@@ -39,10 +39,12 @@ def words_of(name: str | None) -> list[str]:
     return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)))
 
 
-def bigrams(words: list[str]) -> list[str]:
-    """The bigrams of the words written as one, each once; a single letter is its own."""
+def bigrams(words: list[str]) -> list[int]:
+    """The bigrams of the words written as one, each once and as a number; a single letter is its own."""
     text = "".join(words)
-    return sorted({text[i : i + 2] for i in range(max(1, len(text) - 1))}) if text else []
+    if len(text) == 1:
+        return [ord(text)]
+    return sorted({ord(a) << 21 | ord(b) for a, b in zip(text, text[1:])})
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -140,13 +142,13 @@ def _sets(worded: DataFrame, number: str, scratch: Scratch) -> DataFrame:
             yield pdf.assign(grams=pdf["words"].map(lambda w: bigrams(w.split(" "))))
 
     once = worded.select("words").distinct().withColumn(number, F.monotonically_increasing_id())
-    return scratch.save(once.mapInPandas(run, f"words string, {number} long, grams array<string>"), f"sets-{number}")
+    return scratch.save(once.mapInPandas(run, f"words string, {number} long, grams array<long>"), f"sets-{number}")
 
 
-def _ranked(sets: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
-    """key, grams as numbers in order of global rarity."""
-    numbered = sets.select(key, F.explode("grams").alias("gram")).join(frequency, "gram")
-    return numbered.groupBy(key).agg(F.array_sort(F.collect_list("rank")).alias("grams"))
+def _ranked(sets: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """key, grams in order of global rarity."""
+    numbered = sets.select(key, F.explode("grams").alias("gram")).join(counts, "gram")
+    return numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g")).select(key, F.transform("g", lambda x: x["gram"]).alias("grams"))
 
 
 def _prefixes(ranked: DataFrame, key: str, least: float) -> DataFrame:
@@ -161,9 +163,7 @@ def similar_sets(left: DataFrame, right: DataFrame, scratch: Scratch, least: flo
     """l, r, jaccard of all pairs of sets, left (l, grams) and right (r, grams), of similarity ``least`` or more."""
     both = left.select(F.explode("grams").alias("gram")).unionByName(right.select(F.explode("grams").alias("gram")))
     counts = both.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # The rank puts rare grams first; equally rare ones differ by their hash, so a number stands for one gram.
-    frequency = counts.select("gram", F.struct(F.col("n"), F.xxhash64("gram").alias("h")).alias("rank"))
-    left, right = scratch.save(_ranked(left, frequency, "l"), "ranked-l"), scratch.save(_ranked(right, frequency, "r"), "ranked-r")
+    left, right = scratch.save(_ranked(left, counts, "l"), "ranked-l"), scratch.save(_ranked(right, counts, "r"), "ranked-r")
     fits = (F.col("l_size") >= F.lit(least) * F.col("r_size")) & (F.col("r_size") >= F.lit(least) * F.col("l_size"))
     needed = F.ceil(F.lit(least / (1 + least)) * (F.col("l_size") + F.col("r_size")) - F.lit(1e-9))
     # All grams before a shared one may be shared too, and all that follow in the shorter rest.
