@@ -134,7 +134,8 @@ def fit(subjects: list[str], labelled: list[tuple[str, set[int]]]) -> Terms:
         counts = np.zeros((len(vocabulary), k))
         np.add.at(counts, terms, part[rows])
         total = part.sum(axis=0)
-        rate = (counts + 0.5) / (np.maximum(total, total.mean() / 4) + 1)  # a subject with few sentences is no better than a middling one
+        usual = max(1.0, total.mean())
+        rate = counts / np.maximum(total, usual / 4) + 0.5 / usual  # half a sentence of an average subject is added everywhere
         best, order = rate.argmax(axis=1), np.sort(rate, axis=1)
         second = order[:, -2] if k > 1 else np.full(len(order), rate.min())
         weight = np.where(counts.sum(axis=1) >= 2, np.maximum(np.log(order[:, -1] / second) - OFFSET, 0), 0)
