@@ -91,3 +91,26 @@ def alias_added(types: DataFrame, additions: DataFrame) -> DataFrame:
     rows = additions.select("type_id", "alias", plain("alias").alias("k")).join(types.select("type_id", "status", "aliases", F.lit(True).alias("known")), "type_id", "left").join(named, "k", "left")
     outcome = F.when(F.col("known").isNull(), "not_found").when(F.col("status").isin(*INACTIVE), "inactive").when(F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(F.trim(a)) == F.col("k")), "exists").when(F.col("owner").isNotNull(), "conflict").otherwise("added")
     return rows.select("type_id", "alias", outcome.alias("outcome"))
+
+
+def alias_removed(types: DataFrame, removals: DataFrame) -> DataFrame:
+    """The types without the aliases to remove (type_id, alias), compared without case and outer space."""
+    gone = removals.groupBy("type_id").agg(F.collect_set(F.lower(F.trim("alias"))).alias("_gone"))
+    left = F.filter("aliases", lambda a: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<string>")), F.lower(F.trim(a))))
+    return types.join(gone, "type_id", "left").withColumn("aliases", left).drop("_gone")
+
+
+def candidates_merged(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidates after merging each source into its target (source_id, target_id); evidence is summed.
+
+    A pair of one candidate, with an unknown side, or whose target is itself a source, changes
+    nothing: the target must be the end of its chain.
+    """
+    side = candidates.select("candidate_id", "evidence_count")
+    pairs = pairs.where("source_id <> target_id")
+    good = pairs.join(side.select(F.col("candidate_id").alias("source_id"), F.col("evidence_count").alias("more")), "source_id").join(side.select(F.col("candidate_id").alias("target_id")), "target_id")
+    good = good.join(pairs.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_anti")
+    into = good.groupBy(F.col("target_id").alias("candidate_id")).agg(F.sum("more").alias("_more"))
+    gone = good.select(F.col("source_id").alias("candidate_id"), F.col("target_id").alias("_into"))
+    rows = candidates.join(into, "candidate_id", "left").join(gone, "candidate_id", "left")
+    return rows.withColumn("evidence_count", (F.col("evidence_count") + F.coalesce("_more", F.lit(0))).cast("int")).withColumn("status", F.when(F.col("_into").isNotNull(), "merged").otherwise(F.col("status"))).withColumn("merged_into_candidate_id", F.coalesce("_into", "merged_into_candidate_id")).drop("_more", "_into")
