@@ -124,8 +124,22 @@ WITH k AS (
 f AS (SELECT *, min(ingest_seq) OVER (PARTITION BY tbl, key) AS first_seq FROM k WHERE key IS NOT NULL AND key <> '')
 """
 
+_CLOSENESS = """
+WITH once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY created_at) AS rn FROM similarity_results WHERE result_id IS NOT NULL) WHERE rn = 1),
+s AS (SELECT result_id, observation_id, entity_id, 'image_similarity' AS criterion, image_similarity AS score FROM once UNION ALL SELECT result_id, observation_id, entity_id, 'text_similarity', text_similarity FROM once
+  UNION ALL SELECT result_id, observation_id, entity_id, 'signal ' || x.signal_name, x.score FROM (SELECT result_id, observation_id, entity_id, unnest(signals) AS x FROM once) WHERE x.available),
+v AS (SELECT * FROM s WHERE score IS NOT NULL AND NOT isnan(score) AND observation_id IS NOT NULL AND entity_id IS NOT NULL),
+q AS (SELECT criterion, quantile_disc(score, 0.01) AS lo, quantile_disc(score, 0.99) AS hi FROM v GROUP BY criterion),
+u AS (SELECT result_id, observation_id, entity_id, (least(greatest(score, lo), hi) - lo) / (hi - lo) AS u FROM v JOIN q ON q.criterion = v.criterion),
+c AS (SELECT observation_id, entity_id, sqrt(avg(u * u)) / (sqrt(avg(u * u)) + sqrt(avg((1 - u) * (1 - u)))) AS closeness FROM u GROUP BY result_id, observation_id, entity_id),
+b AS (SELECT observation_id, entity_id, max(closeness) AS closeness FROM c GROUP BY ALL)
+"""
+
 ORACLES = {
     "p1_found": _SEEN + "SELECT tbl, ingest_seq FROM f WHERE ingest_seq > first_seq",
+    "p1_rates": _SEEN + "SELECT tbl, count(*) AS keyed_rows, count(DISTINCT key) AS first_rows, count(*) - count(DISTINCT key) AS repeat_rows, least(1, pow(count(DISTINCT key), 2) / pow(2, 129))::DOUBLE AS wrong_rate FROM f GROUP BY tbl",
+    "p6_found": _CLOSENESS + "SELECT observation_id, arg_min(entity_id, (-round(closeness, 12), entity_id)) AS entity_id FROM b GROUP BY observation_id",
+    "p6_ranking": _CLOSENESS + "SELECT observation_id, entity_id, round(closeness, 6) AS closeness, row_number() OVER (PARTITION BY observation_id ORDER BY closeness DESC, entity_id)::INTEGER AS place FROM b",
     "p5_found": """
 WITH RECURSIVE r AS (SELECT 'entities' AS tbl, entity_id AS id, trim(canonical_entity_id) AS p FROM entities UNION SELECT 'type_candidates', candidate_id, trim(merged_into_candidate_id) FROM type_candidates),
 l AS (SELECT tbl, id, p FROM r WHERE p <> '' UNION SELECT tbl, p, id FROM r WHERE p <> ''),

@@ -80,7 +80,9 @@ def first_sightings(stream: DataFrame, scratch: Scratch, name: str = "seen", on_
 
     The checkpoint under ``scratch`` lets a broken run, or a later one with new files, go on from
     where the last one ended.  Batches may come in any order: the state keeps the lowest order,
-    and a key whose first sighting changes later comes out once, with the lowest.
+    and a key whose first sighting changes later comes out once, with the lowest.  ``on_batch``
+    gets the first sightings that a batch touched: with them ``repeats`` tells the batch's own rows
+    apart, without reading earlier ones.
     """
     spark, out, state = scratch.spark, scratch.path(f"{name}-firsts"), scratch.path(f"{name}-state")
 
