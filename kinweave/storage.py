@@ -30,7 +30,7 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}".rstrip("/")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
@@ -46,3 +46,7 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+
+    def clear(self) -> None:
+        """Frees all of them, once the result that reads them is stored elsewhere."""
+        self.drop("")
