@@ -89,4 +89,5 @@ def source_basename(c: Column | str) -> Column:
 
 
 def participant_role(name: Column | str) -> Column:
-    return F.when(F.lower(_column(name)).contains("subject"), "subject").otherwise("participant")
+    """subject for what a photo shows, else NULL."""
+    return F.when(F.lower(_column(name)).contains("subject"), "subject")

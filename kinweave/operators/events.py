@@ -19,10 +19,11 @@ def alignment_score() -> Column:
     date = F.when(F.col("o_date") == F.col("e_date"), DATE_POINTS)
     place = F.when(gps & (km < PLACE_KM), PLACE_POINTS * (1 - km / PLACE_KM))
     named = F.when(~gps & (F.trim("e_place") != "") & F.lower("o_place").contains(F.lower("e_place")), NAME_POINTS)
-    shared = F.size(F.array_intersect("o_species", "e_species"))
-    species = F.when(shared > 0, SPECIES_POINTS * shared / F.greatest(F.size(F.array_distinct("o_species")), F.size(F.array_distinct("e_species"))))
+    plain = lambda c: F.array_distinct(F.transform(c, lambda s: F.lower(s)))
+    shared = F.size(F.array_intersect(plain("o_species"), plain("e_species")))
+    species = F.when(shared > 0, SPECIES_POINTS * shared / F.greatest(F.size(plain("o_species")), F.size(plain("e_species"))))
     score = sum((F.coalesce(x, F.lit(0.0)) for x in (date, place, named, species)), F.lit(0.0))
-    flags = F.array_compact(F.array(F.lit("event_aligned"), F.when(date.isNotNull(), "date"), F.when(place.isNotNull(), "place"), F.when(named.isNotNull(), "location_name"), F.when(species.isNotNull(), "species")))
+    flags = F.array_compact(F.array(F.lit("event_aligned"), F.when(date.isNotNull(), "date_match"), F.when(place.isNotNull(), F.format_string("gps_proximity(%.1fkm)", km)), F.when(named.isNotNull(), "location_name_match"), F.when(species.isNotNull(), "species_overlap")))
     return F.struct(score.alias("score"), flags.alias("flags"))
 
 
@@ -44,7 +45,7 @@ def align(observations: DataFrame, events: DataFrame, cell_degrees: float = 0.25
     near_o = rest.where("o_lat is not null and o_lon is not null").withColumn("_lon", sides).withColumn("_band", around(cell("o_lat"), 1)).withColumn("_x", around(column("_lon"), 2)).drop("_lon")
     near_e = events.where("e_lat is not null and e_lon is not null").withColumn("_band", cell("e_lat")).withColumn("_x", column("e_lon"))
     placed = near_o.join(near_e, ["_band", "_x"]).drop("_band", "_x")
-    kinds = rest.withColumn("_s", F.explode(F.array_distinct("o_species"))).join(events.withColumn("_s", F.explode(F.array_distinct("e_species"))), "_s").drop("_s")
+    kinds = rest.withColumn("_s", F.explode(F.array_distinct(F.transform("o_species", lambda s: F.lower(s))))).join(events.withColumn("_s", F.explode(F.array_distinct(F.transform("e_species", lambda s: F.lower(s))))), "_s").drop("_s")
     pairs = dated.unionByName(placed).unionByName(kinds)
     scored = pairs.withColumn("_a", alignment_score()).groupBy("observation_id", "entity_id").agg(F.max("_a").alias("a"))
     return scored.where(F.col("a.score") >= CANDIDATE).select("observation_id", "entity_id", F.col("a.score").alias("posterior"), F.when(F.col("a.score") >= SOFT, "soft").otherwise("candidate").alias("status"), F.lit("context").alias("role"), F.col("a.flags").alias("flags"))

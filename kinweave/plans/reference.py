@@ -467,7 +467,7 @@ def event_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_SEEDS + f""", n AS (SELECT x.*, e.entity_nature, e.name FROM x JOIN {_ENT} e ON e.entity_id = x.entity_id)
- SELECT a.entity_id AS event_id, b.entity_id AS participant_id, a.observation_id, max(CASE WHEN contains(lower(b.name), 'subject') THEN 'subject' ELSE 'participant' END) AS role, round(max(least(a.posterior, b.posterior)), 12) AS confidence
+ SELECT a.entity_id AS event_id, b.entity_id AS participant_id, a.observation_id, max(CASE WHEN contains(lower(b.name), 'subject') THEN 'subject' END) AS role, round(max(least(a.posterior, b.posterior)), 12) AS confidence
  FROM n a JOIN n b ON b.observation_id = a.observation_id AND a.entity_nature = 'event' AND a.role = 'context' AND b.entity_nature = 'individual' AND b.role = 'subject' GROUP BY a.entity_id, b.entity_id, a.observation_id""")
 def event_participants(spark: SparkSession, folder: str) -> DataFrame:
     e = current_rows(table(spark, folder, "entities"), "entity_id", "entity_nature", "name")

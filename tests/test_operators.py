@@ -240,9 +240,10 @@ def test_hot_parent(spark, got):
 
 
 def test_event_alignment(made, got):
-    o = made([("o1", "2024-01-01", 0.0, 0.0, None, ["lion"]), ("o2", None, 0.0, 0.05, None, []), ("o3", None, None, None, "near the Big Dam", ["lion", "zebra"]), ("o4", None, 0.0, 179.99, None, []), ("o5", "2024-02-02", 0.0, 0.0, None, [])], "observation_id string, o_date string, o_lat double, o_lon double, o_place string, o_species array<string>")
+    o = made([("o1", "2024-01-01", 0.0, 0.0, None, ["lion"]), ("o2", None, 0.0, 0.05, None, []), ("o3", None, None, None, "near the Big Dam", ["LION", "zebra"]), ("o4", None, 0.0, 179.99, None, []), ("o5", "2024-02-02", 0.0, 0.0, None, [])], "observation_id string, o_date string, o_lat double, o_lon double, o_place string, o_species array<string>")
     e = made([("e1", "2024-01-01", 0.0, 0.0, "big dam", ["lion"]), ("e2", None, 0.0, -179.99, None, []), ("e3", None, None, None, None, [])], "entity_id string, e_date string, e_lat double, e_lon double, e_place string, e_species array<string>")
     out = {(r["observation_id"], r["entity_id"]): r for r in events.align(o, e).collect()}
+    assert out["o1", "e1"]["flags"] == ["event_aligned", "date_match", "gps_proximity(0.0km)", "species_overlap"]
     assert set(out) == {("o1", "e1"), ("o3", "e1")} and out["o1", "e1"]["status"] == "soft" and abs(out["o1", "e1"]["posterior"] - 1.0) < 1e-9
     assert abs(out["o3", "e1"]["posterior"] - 0.35) < 1e-9 and out["o3", "e1"]["status"] == "candidate"
     same = events.align(o.where("observation_id = 'o4'"), e.withColumn("e_lon", F.when(F.col("entity_id") == "e2", 179.99).otherwise(F.col("e_lon"))))
