@@ -58,25 +58,29 @@ def _double(state: DataFrame, scratch: Scratch, name: str, upward: tuple[str, ..
         scratch.drop(f"{name}{k - 1}")
 
 
-def unfold(links: DataFrame, scratch: Scratch, paths: bool = False) -> DataFrame:
-    """tree, id, parent, root, depth, subtree_size, preorder[, path] of each node of ``links`` (tree, id, parent).
+def unfold(links: DataFrame, scratch: Scratch, paths: bool = False, nested: bool = True) -> DataFrame:
+    """tree, id, parent, root, depth[, subtree_size, preorder][, path] of each node of ``links`` (tree, id, parent).
 
-    ``tree`` names independent link kinds, ``id`` is unique within it; rows without an id are
-    dropped.  A parent that is NULL or isn't an id of the tree makes its child a root.  On a loop
+    ``tree`` names independent link kinds.  Rows without an id are dropped; of rows with the same
+    id the smallest parent counts.  A parent that is NULL or isn't an id of the tree makes its child a root.  On a loop
     or below one: root NULL, depth -1, and NULL size, preorder and path.  ``path`` holds the ids
     from the node up to its root.  Other columns are ignored.
     """
-    own = links.select("tree", "id", "parent").where("id is not null")
+    own = links.where("id is not null").groupBy("tree", "id").agg(F.min("parent").alias("parent"))
     known = own.select("tree", F.col("id").alias("parent"), F.lit(True).alias("known"))
     linked = own.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("parent"))
     start = ("tree", "id", "parent", F.coalesce("parent", "id").alias("up"), F.col("parent").isNotNull().cast("long").alias("hops"), F.col("parent").isNull().alias("done"))
-    up = _double(linked.select(*start, F.lit(1).cast("long").alias("size"), *([F.array("id").alias("path")] if paths else [])), scratch, "up", ("size",), ("path",) if paths else ())
+    up = _double(linked.select(*start, *([F.lit(1).cast("long").alias("size")] if nested else []), *([F.array("id").alias("path")] if paths else [])), scratch, "up", ("size",) if nested else (), ("path",) if paths else ())
+    ends = lambda c: F.when(F.col("done"), F.col(c))
+    found = ["tree", "id", "parent", ends("up").alias("root"), F.coalesce(ends("hops"), F.lit(-1)).cast("int").alias("depth")]
+    path = [ends("path").alias("path")] if paths else []
+    if not nested:
+        return up.select(*found, *path)
     trees = up.where("done")
     offsets = trees.select("tree", "id", "parent", "size").join(_sibling_offsets(trees), ["tree", "id"], "left")
     down = _double(offsets.select(*start, F.coalesce("before", F.lit(0)).alias("before")), scratch, "down", (), ("before",))
     out = up.join(down.select("tree", "id", F.col("before").alias("preorder")), ["tree", "id"], "left")
-    ends = lambda c: F.when(F.col("done"), F.col(c))
-    return out.select("tree", "id", "parent", ends("up").alias("root"), F.coalesce(ends("hops"), F.lit(-1)).cast("int").alias("depth"), ends("size").alias("subtree_size"), "preorder", *([ends("path").alias("path")] if paths else []))
+    return out.select(*found, ends("size").alias("subtree_size"), "preorder", *path)
 
 
 def descendants(nodes: DataFrame, of: DataFrame) -> DataFrame:

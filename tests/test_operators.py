@@ -187,7 +187,7 @@ def test_hierarchy(spark, made, got):
     wide = [("t", f"k{i}", "n000") for i in range(200)]
     loop = [("t", "l1", "l2"), ("t", "l2", "l1"), ("t", "l3", "l1"), ("u", "n000", None), ("t", None, "x"), ("t", "self", "self")]
     links = made(deep + wide + loop, "tree string, id string, parent string")
-    nodes = unfold(links, Scratch(spark, "t"), paths=True)
+    nodes = unfold(links.union(links.where("id = 'n100'")), Scratch(spark, "t"), paths=True)
     by = {(r["tree"], r["id"]): r for r in nodes.collect()}
     assert len(by) == 150 + 200 + 5
     assert (by["t", "n149"]["root"], by["t", "n149"]["depth"], len(by["t", "n149"]["path"])) == ("n000", 149, 150)
