@@ -34,6 +34,8 @@ SHARES = tuple(round(0.10 + 0.01 * i, 2) for i in range(21))
 COMMON = 0.05
 
 _END = re.compile(r'[\r\n]+|(?<=[.!?])["\')]*[\s,]+|</?[a-z]+>|",\s*"|"\s*:\s*|; ')
+#: Texts without marks are cut between words into parts of about so many characters.
+LONGEST, PART = 200, 80
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -42,14 +44,25 @@ def normal(text: str) -> str:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Where the sentences of a normal text begin and end; lines, list items and string values end one too."""
-    out, start = [], 0
+    """Where the sentences of a normal text begin and end; lines, list items and string values end one too.
+
+    A sentence of more than LONGEST characters is cut between words, as one without marks may be
+    about several things.
+    """
+    out: list[tuple[int, int]] = []
+
+    def add(a: int, b: int) -> None:
+        while b - a > LONGEST and (cut := text.find(" ", a + PART, b)) > 0:
+            out.append((a, cut))
+            a = cut + 1
+        if b > a:
+            out.append((a, b))
+
+    start = 0
     for m in _END.finditer(text):
-        if m.start() > start:
-            out.append((start, m.start()))
+        add(start, m.start())
         start = m.end()
-    if start < len(text):
-        out.append((start, len(text)))
+    add(start, len(text))
     return out
 
 

@@ -412,3 +412,12 @@ def test_nothing_else_imports_the_subpackage():
 
     root = pathlib.Path(kinweave.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "kinweave.llm" in p.read_text()]
+
+
+def test_texts_without_marks_are_cut():
+    text = "whisker purr meow " * 20 + "anchor sail keel " * 20
+    spans = subjects.sentences(text)
+    assert max(b - a for a, b in spans) <= subjects.LONGEST and spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert subjects.sentences("x" * 5000) == [(0, 5000)] and subjects.sentences("") == []
+    terms = subjects.Terms(["cats", "ships"], {w: (0, 2.0) for w in WORDS["cats"]} | {w: (1, 2.0) for w in WORDS["ships"]})
+    assert terms.assigned(text) == [0, 1]
