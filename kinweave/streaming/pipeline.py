@@ -58,7 +58,11 @@ def run(stream: DataFrame, folder: str, checkpoint: str, context: str = "source:
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of each user, for a batch or a stream: user_id, start, end, events."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    """user_id, start, end, events of each session, for a batch or a stream.
+
+    A stream's sessions come out once the watermark has passed their end; later events than
+    ``late`` are dropped.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     sessions = rows.where("user_id is not null and ts is not null").groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
     return sessions.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")

@@ -329,3 +329,15 @@ def test_sessions(made, got):
     at = lambda m: T(2024, 1, 1, 0, 0) + dt.timedelta(minutes=m)
     rows = made([(1, at(0)), (1, at(29)), (1, at(59)), (1, at(90)), (2, at(0)), (None, at(0)), (2, None)], "user_id long, ts timestamp")
     assert got(pipeline.event_sessions(rows).select("user_id", "events")) == [(1, 1), (1, 3), (2, 1)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_sessions_of_a_stream(spark, made, got, tmp_path, kind):
+    at = lambda m: T(2024, 1, 1, 0, 0) + dt.timedelta(minutes=m)
+    schema = f"user_id long, ts {kind}"
+    for minutes in ((0, 10, 59), (20, 600), (1200,)):  # the last one only moves the watermark
+        made([(1, at(m)) for m in minutes], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = pipeline.event_sessions(stream).writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).format("memory").queryName(f"sessions_{kind}").start()
+    query.awaitTermination()
+    assert got(spark.table(f"sessions_{kind}").select("user_id", "events")) == [(1, 1), (1, 1), (1, 3)]
