@@ -31,17 +31,15 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     return seen.rates(*_seen(spark, folder))
 
 
-VECTORS = {"entities": ("entity_id", {"prototype_image_embedding": "entities.prototype_image_embedding", "prototype_text_embedding": "entities.prototype_text_embedding"}), "signatures": ("signature_id", {"image_embedding": "signatures.image_embedding", "text_embedding": "signatures.text_embedding"})}
+#: Each vector column under a short name, as the name goes through every shuffle.
+VECTORS = {"entities": ("entity_id", {"prototype_image_embedding": "a", "prototype_text_embedding": "b"}), "signatures": ("signature_id", {"image_embedding": "c", "text_embedding": "d"})}
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = []
-    for name, (key, columns) in VECTORS.items():
-        short = {c: c for c in columns}
-        d = neighbours.current_directions(table(spark, folder, name), key, short)
-        parts.append(d.withColumn("field", F.concat(F.lit(f"{name}."), "field")))
+    parts = [neighbours.current_directions(table(spark, folder, name), key, columns) for name, (key, columns) in VECTORS.items()]
     nearest = neighbours.all_nearest(parts[0].unionByName(parts[1]), Scratch(spark, "nearest"))
-    return neighbours.similar_pairs(nearest).select(F.col("field").alias("vector_field"), "id_a", "id_b")
+    full = F.create_map(*(F.lit(x) for name, (_, columns) in VECTORS.items() for c, short in columns.items() for x in (short, f"{name}.{c}")))
+    return neighbours.similar_pairs(nearest).select(full[F.col("field")].alias("vector_field"), "id_a", "id_b")
 
 
 def _mapped(spark: SparkSession, folder: str) -> DataFrame:
