@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,9 +77,19 @@ def directions(df: DataFrame, key: str, columns: dict[str, str], dim: int = 64)
     return df.select(F.col(key).cast("string"), F.col("ingest_seq").cast("long"), *columns).mapInArrow(run, schema)
 
 
+def packed(c: Column) -> Column:
+    """An id as bytes: 16 and a mark for 32 lower-case hexadecimal digits, else its text and another mark."""
+    return F.when(c.rlike("^[0-9a-f]{32}$"), F.concat(F.lit(b"\x01"), F.unhex(c))).otherwise(F.concat(F.lit(b"\x00"), F.encode(c, "UTF-8")))
+
+
+def unpacked(c: Column) -> Column:
+    rest = F.substring(c, 2, 1 << 30)
+    return F.when(F.substring(c, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def current_directions(df: DataFrame, key: str, columns: dict[str, str], dim: int = 64) -> DataFrame:
-    """field, id, code of the current row of each id, where its vector can be used."""
-    coded = directions(df.where(F.col(key).isNotNull()), key, columns, dim)
+    """field, id (packed), code of the current row of each id, where its vector can be used."""
+    coded = directions(df.where(F.col(key).isNotNull()), key, columns, dim).withColumn("id", packed(F.col("id")))
     latest = coded.groupBy("id").agg(F.max_by(F.struct(*columns.values()), F.coalesce("seq", F.lit(-1))).alias("r"))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"r.{c}").alias("code")) for c in columns.values())))
     return latest.select("id", each.alias("e")).select("e.field", "id", "e.code").where("code is not null")
@@ -94,8 +104,8 @@ def _routers(points: DataFrame, counts: dict[str, int], trees: int, shard: int,
             continue
         shards = min(MOST_SHARDS, 1 << math.ceil(math.log2(n / shard)))
         share = min(1.0, 1.3 * sample / n)
-        part = points.where((F.col("field") == field) & (F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("code").limit(sample)
-        v = decode([r[0] for r in part.collect()])
+        part = points.where((F.col("field") == field) & (F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("code").orderBy(F.xxhash64("code")).limit(sample)
+        v = decode(sorted(bytes(r[0]) for r in part.collect()))  # in an order that doesn't depend on tasks, as in each shard
         routers[field] = [VPTree.build(v, max(1, len(v) // shards), seed) for seed in range(trees)]
     return routers
 
@@ -103,8 +113,8 @@ def _routers(points: DataFrame, counts: dict[str, int], trees: int, shard: int,
 def all_nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, least: float = 0.92, factor: float = FACTOR, shard_factor: float = SHARD_FACTOR, trees: int = TREES, shard: int = SHARD, leaf: int = LEAF, sample: int = ROUTING_SAMPLE) -> DataFrame:
     """field, a, b, cos: the k vectors most similar to each vector a of its field, of cosine ``least`` or more.
 
-    ``vectors``: field, id, code (see current_directions), one row for each field and id.  Ties
-    go to the smaller id.  No field, no vector or a single one gives no rows.
+    ``vectors``: field, id (packed), code (see current_directions), one row for each field and id.
+    Ties go to the smaller id.  No field, no vector or a single one gives no rows.
     """
     vectors = scratch.save(vectors, "vectors")
     points = scratch.save(vectors.groupBy("field", "code").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("pid", F.monotonically_increasing_id()), "points")
@@ -132,7 +142,7 @@ def all_nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, least: float =
         table = pa.Table.from_batches(held)
         numbers = table.column("shard").to_numpy()
         for number in np.unique(numbers):
-            own = table.filter(pa.array(numbers == number))
+            own = table.filter(pa.array(numbers == number)).sort_by("code")
             pid = own.column("pid").to_numpy()
             v = decode(own.column("code").to_pylist())
             a, b, cos = shard_search(v, own.column("home").to_numpy(), k, least, factor, leaf, int(number))
@@ -160,22 +170,25 @@ def _members(vectors: DataFrame, points: DataFrame, best: DataFrame, scratch: Sc
     key = F.unhex(F.md5("code")).alias("key")  # in the place of the longer code
     several = points.where("n > 1").select("field", key, "pid")
     copies = scratch.save(vectors.select("field", "id", key).join(several, ["field", "key"]).select("field", "id", "pid"), "copies")
-    smallest = Window.partitionBy("pid").orderBy("id")
+    smallest = Window.partitionBy("pid").orderBy(unpacked(F.col("id")))
     first = copies.withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= k + 1).groupBy("pid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     alone = points.where("n = 1").select("pid", "field", "n", F.array("rep").alias("ids"))
     names = scratch.save(alone.unionByName(points.where("n > 1").select("pid", "field", "n").join(first, "pid")), "names")
     partner = F.struct(F.round(-F.col("cos"), 7).alias("far"), F.col("ids").alias("ids"))
     others = best.join(names.select(F.col("pid").alias("b"), "ids"), "b").groupBy("a").agg(F.sort_array(F.collect_list(partner)).alias("others"))
     lists = names.join(others.withColumnRenamed("a", "pid"), "pid", "left").where("n > 1 or others is not null")
-    own = F.when(F.col("n") > 1, F.array(F.struct(F.lit(-1.0).alias("far"), F.col("ids").alias("ids")))).otherwise(F.array().cast("array<struct<far:double,ids:array<string>>>"))
-    flat = lambda g: F.transform(g["ids"], lambda i: F.struct(g["far"].alias("far"), i.alias("id")))
-    ranked = lists.select("pid", "field", "n", "ids", F.array_sort(F.flatten(F.transform(F.concat(own, F.coalesce("others", F.array().cast("array<struct<far:double,ids:array<string>>>"))), flat))).alias("p"))
-    single = ranked.where("n = 1").select("field", F.col("ids")[0].alias("a"), "p")
-    many = copies.select("pid", F.col("id").alias("a")).join(ranked.where("n > 1").select("pid", "field", "p"), "pid").select("field", "a", "p")
+    none = F.array().cast("array<struct<far:double,ids:array<binary>>>")
+    own = F.when(F.col("n") > 1, F.array(F.struct(F.lit(-1.0).alias("far"), F.col("ids").alias("ids")))).otherwise(none)
+    flat = lambda g: F.transform(g["ids"], lambda i: F.struct(g["far"].alias("far"), unpacked(i).alias("id")))
+    ranked = lists.select("pid", "field", "n", "ids", F.array_sort(F.flatten(F.transform(F.concat(own, F.coalesce("others", none)), flat))).alias("p"))
+    single = ranked.where("n = 1").select("field", unpacked(F.col("ids")[0]).alias("a"), "p")
+    many = copies.select("pid", "id").join(ranked.where("n > 1").select("pid", "field", "p"), "pid").select("field", unpacked(F.col("id")).alias("a"), "p")
     out = single.unionByName(many).select("field", "a", F.explode(F.slice(F.filter("p", lambda x: x["id"] != F.col("a")), 1, k)).alias("x"))
     return out.select("field", "a", F.col("x.id").alias("b"), (-F.col("x.far")).alias("cos"))
 
 
 def similar_pairs(nearest: DataFrame) -> DataFrame:
     """field, id_a, id_b with id_a < id_b of each pair of which one is among the other's most similar."""
-    return nearest.select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    pair = lambda f: packed(f("a", "b"))
+    once = nearest.select("field", pair(F.least).alias("id_a"), pair(F.greatest).alias("id_b")).distinct()
+    return once.select("field", unpacked(F.col("id_a")).alias("id_a"), unpacked(F.col("id_b")).alias("id_b"))

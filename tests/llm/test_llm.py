@@ -78,7 +78,8 @@ def cloud():
 
 def nearest(spark, ids, v, **options):
     rows = [("f", i, c) for i, c in zip(ids, neighbours.encode(v.astype(float)))]
-    return neighbours.all_nearest(spark.createDataFrame(rows, "field string, id string, code binary"), Scratch(spark, "t"), **options)
+    vectors = spark.createDataFrame(rows, "field string, id string, code binary").withColumn("id", neighbours.packed(F.col("id")))
+    return neighbours.all_nearest(vectors, Scratch(spark, "t"), **options)
 
 
 def test_factor_one_is_exact(spark, cloud, got):
@@ -120,11 +121,17 @@ def test_unusable_vectors(spark, got):
     rows = [(1, "a", good), (2, "b", [2.0 * x for x in good]), (3, "c", good[:63]), (4, "d", [None] + good[1:]), (5, "e", [float("nan")] + good[1:]), (6, "f", [0.0] * 64), (7, "g", None), (8, "h", [float("inf")] + good[1:]), (1, "i", good), (2, "i", None), (3, "j", []), (9, None, good)]
     df = spark.createDataFrame(rows, "ingest_seq long, x string, v array<float>")
     now = neighbours.current_directions(df, "x", {"v": "v"})
-    assert got(now.select("id")) == [("a",), ("b",)]
+    assert got(now.select(neighbours.unpacked(F.col("id")).alias("id"))) == [("a",), ("b",)]
     assert got(neighbours.similar_pairs(neighbours.all_nearest(now, Scratch(spark, "t")))) == [("v", "a", "b")]
     assert neighbours.all_nearest(now.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_packed_ids(spark, got):
+    ids = ["", "é", "0" * 32, "0f" * 16, "0F" * 16, "g" * 32, "a", "\x01b"]
+    df = spark.createDataFrame([(i,) for i in ids], "i string").select("i", neighbours.packed(F.col("i")).alias("p"))
+    assert all(r["i"] == r["u"] for r in df.withColumn("u", neighbours.unpacked(F.col("p"))).collect()) and df.select("p").distinct().count() == len(ids)
+
+
 def test_many_copies_stay_linear(spark):
     v = np.repeat(np.random.default_rng(1).normal(size=(1, 64)), 500, axis=0)
     ids = [f"{i:04}" for i in range(500)]
