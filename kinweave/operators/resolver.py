@@ -39,11 +39,11 @@ def _signals(nature: str) -> dict[str, Column]:
     return {"individual": {"image": F.col("similarity"), "location": place, "timestamp": time}, "class": {"text": F.col("similarity")}, "group": {"location": place}, "event": {"timestamp": time, "location": place}}[nature]
 
 
-def similarity_links(seeds: DataFrame, entities: DataFrame, thresholds: Thresholds = Thresholds(), k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+def similarity_links(seeds: DataFrame, entities: DataFrame, thresholds: Thresholds = Thresholds(), k: int = TOP_K, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Links of seeds by similarity, and the decision on each seed that had candidates.
 
     ``seeds``: observation_id, seed_index, entity_nature, vector, lat, lon, at.  ``entities``: as
-    stored, with e_lat, e_lon and e_at of each.
+    stored, with e_lat, e_lon and e_at of each.  Vectors of another length than ``dim`` match none.
     """
     decided, links = [], []
     key = ("observation_id", "seed_index")
@@ -51,7 +51,7 @@ def similarity_links(seeds: DataFrame, entities: DataFrame, thresholds: Threshol
     facts = entities.select("entity_id", "e_lat", "e_lon", "e_at")
     for nature, prototype in PROTOTYPES.items():
         own = seeds.where(F.col("entity_nature") == nature).withColumn("query_id", F.concat_ws("|", *key))
-        found = nearest(own.select("query_id", "vector"), live_pool(entities, prototype, nature), k)
+        found = nearest(own.select("query_id", "vector"), live_pool(entities, prototype, nature), k, dim=dim)
         scored = found.join(own, "query_id").join(facts, "entity_id").withColumn("similarity", _rescaled(F.col("cosine"))).withColumn("_s", combined_score(nature, _signals(nature)))
         rows = scored.select(*key, "entity_id", "rank", F.lit(nature).alias("nature"), "_s.score", "_s.coverage", F.exists("_s.flags", lambda f: f.isin("sparse_signals", "single_signal")).alias("sparse"), (F.col("similarity") if nature == "individual" else F.lit(None).cast("double")).alias("image"))
         best = decide(with_margin(rows, *key), thresholds)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import documents as doc
 from kinweave.functions import media, names, slots, spacetime
-from kinweave.operators import candidates, canonical, events, identifiers, ingest, prototypes, reconcile, scoring, slotrefs, types, world
+from kinweave.operators import candidates, canonical, events, identifiers, ingest, prototypes, reconcile, resolver, scoring, slotrefs, types, world
 from kinweave.sources.tables import current_rows, table
 from kinweave.storage import Scratch
 from kinweave.streaming import pipeline
@@ -337,6 +337,25 @@ def canonical_links(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.canonicalised(links, _chains(spark, folder, "entities", "entity_id", "canonical_entity_id")[1]).select("observation_id", "entity_id", _r12("posterior"))
 
 
+_USABLE = "len({v}) = 64 AND list_bool_and(list_transform({v}, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform({v}, lambda x: x <> 0))"
+
+
+@query(f"""WITH s AS (SELECT signature_id, image_embedding::DOUBLE[] AS v FROM {_current_sql("signatures", "signature_id")} WHERE image_embedding IS NOT NULL AND {_USABLE.format(v="image_embedding")}),
+e AS (SELECT entity_id, prototype_image_embedding::DOUBLE[] AS v FROM {_ENT} WHERE entity_nature = 'individual' AND coalesce(trim(canonical_entity_id), '') = '' AND coalesce(status, '') <> 'deprecated' AND prototype_image_embedding IS NOT NULL AND {_USABLE.format(v="prototype_image_embedding")}),
+p AS (SELECT s.signature_id, e.entity_id, (round(list_cosine_similarity(s.v, e.v), 12) + 1) / 2 AS sim, count(*) OVER (PARTITION BY s.signature_id) AS n FROM s, e),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY signature_id ORDER BY sim DESC, entity_id) = 1)
+SELECT signature_id, entity_id, round(sim, 6) AS score, CASE WHEN sim >= 0.85 AND NOT (n = 1 AND sim < 0.95) THEN 'link' WHEN sim >= 0.6 THEN 'candidate' ELSE 'new' END AS decision FROM b""")
+def resolve_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole similarity path: pool, exact nearest prototypes, score, margin, decision, for every image signature."""
+    s = current_rows(table(spark, folder, "signatures"), "signature_id", "image_embedding")
+    none = F.lit(None)
+    seeds = s.select(F.col("signature_id").alias("observation_id"), F.lit(0).alias("seed_index"), F.lit("individual").alias("entity_nature"), F.col("image_embedding").alias("vector"), none.cast("double").alias("lat"), none.cast("double").alias("lon"), none.cast("timestamp").alias("at"))
+    e = current_rows(table(spark, folder, "entities"), "entity_id", "entity_nature", "canonical_entity_id", "status", "prototype_image_embedding", "prototype_text_embedding")
+    e = e.withColumns({"e_lat": none.cast("double"), "e_lon": none.cast("double"), "e_at": none.cast("timestamp")})
+    _, decided = resolver.similarity_links(seeds, e, dim=64)
+    return decided.select(F.col("observation_id").alias("signature_id"), "entity_id", _r("score"), "decision")
+
+
 # Prototypes
 
 
