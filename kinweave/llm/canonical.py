@@ -1,27 +1,28 @@
 """Freely entered names mapped to the entries of a reference list.
 
-Names and the forms of entries become sets of character bigrams.  The bigrams of each set are
-ordered by their global rarity, only the rare prefix that any set of enough Jaccard similarity must
-share is joined, the length and positional filters drop pairs that can't reach it, and the
-similarity of the rest is computed exactly.  Of the entries that a name is similar to, those all of
-whose words it has are kept, however they are spelt, and the best of them is its meaning.
+Every form of an entry that ``cost`` accepts for a name is found: the forms are indexed in each
+worker, by the spellings with one letter less that a word shares with any word of one error, and
+by the letters that names and forms written as one have.  Of the entries all of whose words the
+name has, however they are spelt, the one with the fewest errors is its meaning.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.storage import Scratch
 
-#: Least Jaccard similarity of two bigram sets. Low, as a name may have words and errors besides.
+#: Least Jaccard similarity of the bigrams of a name and a form in whose short words or codes there may be errors.
 LEAST = 0.35
 #: Words without a meaning of their own, which an entry's form doesn't need.
 LINKING = frozenset({"of", "the", "a", "an"})
@@ -99,9 +100,25 @@ def joined_cost(word: str, parts: tuple[str, ...]) -> float | None:
     return 0.25 + best if best <= len(parts) else None
 
 
+def meaning(form: list[str]) -> list[str]:
+    """The words of a form that a name must have."""
+    return [w for w in form if w not in LINKING] or form
+
+
+def as_one(name: list[str]) -> set[str]:
+    """The texts of a name that may be several words written as one."""
+    texts = {*name, "".join(name)}
+    return texts | {"".join(name[1:]), "".join(name[:-1])} if len(name) > 2 else texts  # a word split off in front or behind
+
+
+def jaccard(name: list[str], form: list[str]) -> float:
+    a, b = set(bigrams(name)), set(bigrams(form))
+    return len(a & b) / len(a | b)
+
+
 def cost(name: list[str], form: list[str]) -> float | None:
     """The errors with which a name says all words of a form; None if it lacks one of them."""
-    meant = [w for w in form if w not in LINKING] or form
+    meant = meaning(form)
     if not meant or len(meant) > 6:  # longer forms are only found in their own order
         return 0.0 if meant and name == form else None
     left, total = list(name), 0.0
@@ -115,14 +132,96 @@ def cost(name: list[str], form: list[str]) -> float | None:
     else:
         return total
     if len(meant) <= 4:
-        options = [c for w in {*name, "".join(name)} if (c := joined_cost(w, tuple(meant))) is not None]
-        if len(name) > 2:  # a word split off in front or behind
-            options += [c for w in ("".join(name[1:]), "".join(name[:-1])) if (c := joined_cost(w, tuple(meant))) is not None]
-        if options:
+        options = [c for w in as_one(name) if (c := joined_cost(w, tuple(meant))) is not None]
+        # Short words and codes allow no error of their own: more errors than long words are for names alike as a whole ("mat" isn't "my cat").
+        sure = 0 if any(c.isdigit() for w in meant for c in w) else sum(len(w) >= 4 for w in meant)
+        if options and (min(options) - 0.25 <= sure or jaccard(name, form) >= LEAST):
             return min(options)
     return None
 
 
+def spellings(word: str) -> set[str]:
+    """Texts of which two words share one if ``word_cost`` accepts them: each and its singular, also with one letter less."""
+    own = {word, singular(word)}
+    return own | {w[:i] + w[i + 1 :] for w in own for i in range(len(w))}
+
+
+class Forms:
+    """All forms of a reference list, (words, type_id), so that those a name may mean are found without comparing it to each."""
+
+    #: Letters are counted in this many classes; letters of one class only let more pairs through to ``cost``.
+    CLASSES = 64
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        types: dict[str, str] = {}
+        for words, type_id in rows:
+            types[words] = min(type_id, types.get(words, type_id))
+        meant = {words: meaning(words.split(" ")) for words in types}
+        self.forms = sorted(types, key=lambda f: (len("".join(meant[f])), f))
+        self.types = [types[f] for f in self.forms]
+        self.meant = [frozenset(meant[f]) for f in self.forms]
+        self.words = sorted(frozenset().union(*self.meant))
+        self.longest = max(map(len, self.words), default=0)
+        self.by_spelling: dict[str, list[str]] = {}
+        for word in self.words:
+            for text in spellings(word):
+                self.by_spelling.setdefault(text, []).append(word)
+        # Each form is listed under that of its words that the fewest forms have.
+        uses = Counter(w for m in self.meant for w in m)
+        self.listed: dict[str, list[int]] = {}
+        for i, m in enumerate(self.meant):
+            self.listed.setdefault(min(m, key=lambda w: (uses[w], w)), []).append(i)
+        self.parts = np.array([len(meant[f]) for f in self.forms], dtype=np.int64)
+        self.lengths = np.array([len("".join(meant[f])) for f in self.forms], dtype=np.int64)
+        self.letters = np.array([self.counted("".join(meant[f])) for f in self.forms], dtype=np.int16).reshape(-1, self.CLASSES)
+        self.seen_words: dict[str, frozenset[str]] = {}
+
+    def counted(self, text: str) -> np.ndarray:
+        return np.bincount([ord(c) % self.CLASSES for c in text], minlength=self.CLASSES).clip(max=1 << 14).astype(np.int16)
+
+    def said(self, word: str) -> frozenset[str]:
+        """The words of forms that a word says."""
+        if len(word) > self.longest + 3:  # one letter more, in the plural
+            return frozenset()
+        if word not in self.seen_words:
+            if len(self.seen_words) >= 1 << 16:
+                self.seen_words.clear()
+            near = {m for text in spellings(word) for m in self.by_spelling.get(text, ())}
+            self.seen_words[word] = frozenset(m for m in near if word_cost(word, m) is not None)
+        return self.seen_words[word]
+
+    def joined(self, text: str) -> list[int]:
+        """The forms that a text can be when written as one with an error for each word: one error changes two counts of letters at most."""
+        most = int(self.parts.max(initial=0))
+        low, high = np.searchsorted(self.lengths, [len(text) - most, len(text) + most + 1])
+        if low == high:
+            return []
+        part, letters = self.parts[low:high], self.letters[low:high]
+        fits = np.zeros(high - low, dtype=bool)
+        for t in {text, singular(text)}:
+            fits |= np.abs(letters - self.counted(t)).sum(axis=1) <= 2 * part
+        return (low + np.flatnonzero(fits & (np.abs(self.lengths[low:high] - len(text)) <= part))).tolist()
+
+    def candidates(self, name: list[str]) -> set[int]:
+        """All forms that ``cost`` may accept for a name."""
+        said = frozenset().union(*map(self.said, set(name)))
+        found = {i for m in said for i in self.listed.get(m, ()) if self.meant[i] <= said}
+        return found.union(*map(self.joined, as_one(name)))
+
+    def best(self, name: list[str]) -> tuple[str, float, float] | None:
+        """type_id, jaccard, errors of the entry that a name means."""
+        options = []
+        for i in self.candidates(name):
+            form = self.forms[i].split(" ")
+            if (errors := cost(name, form)) is not None:
+                alike = jaccard(name, form)
+                options.append((errors, -round(alike, 9), self.types[i], alike))
+        if not options:
+            return None
+        errors, _, type_id, alike = min(options)
+        return type_id, alike, errors
+
+
 def _worded(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and its words as one text; names without any word are left out."""
 
@@ -134,17 +233,6 @@ def _worded(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(run, f"{key} string, words string").where("words <> ''")
 
 
-def _sets(worded: DataFrame, number: str, scratch: Scratch) -> DataFrame:
-    """number, words, grams of each different set of words; spellings of one are compared once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(grams=pdf["words"].map(lambda w: bigrams(w.split(" "))))
-
-    once = worded.select("words").distinct().withColumn(number, F.monotonically_increasing_id())
-    return scratch.save(once.mapInPandas(run, f"words string, {number} long, grams array<long>"), f"sets-{number}")
-
-
 def _ranked(sets: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """key, grams in order of global rarity."""
     numbered = sets.select(key, F.explode("grams").alias("gram")).join(counts, "gram")
@@ -175,31 +263,27 @@ def similar_sets(left: DataFrame, right: DataFrame, scratch: Scratch, least: flo
     return full.withColumn("jaccard", shared / (F.size("lg") + F.size("rg") - shared)).where(F.col("jaccard") >= least).select("l", "r", "jaccard")
 
 
-def map_names(names: DataFrame, catalog: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
+def map_names(names: DataFrame, catalog: DataFrame, scratch: Scratch) -> DataFrame:
     """name, type_id, jaccard, errors of each different name that an entry of ``catalog`` is meant by.
 
-    ``names``: name; ``catalog``: type_id, canonical_name, aliases.  Names without an entry (also
-    NULL, blanks and placeholders) don't come out.  The entry with the fewest errors is kept, then
-    the most similar, then the smallest type_id.
+    ``names``: name; ``catalog``: type_id, canonical_name, aliases, a reference list that every
+    worker holds.  Names without an entry (also NULL, blanks and placeholders) don't come out.  The
+    entry with the fewest errors is kept, then the most similar, then the smallest type_id.
     """
     once = scratch.save(_worded(names.where("name is not null").distinct(), "name", "name"), "names")
-    listed = catalog.where("type_id is not null").select("type_id", F.explode(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where("form is not null").distinct()
-    forms = scratch.save(_worded(listed.withColumn("key", F.concat("type_id", F.lit(" "), "form")), "key", "form").join(listed.withColumn("key", F.concat("type_id", F.lit(" "), "form")), "key").select("type_id", "words").distinct(), "forms")
-    left, right = _sets(once, "l", scratch), _sets(forms, "r", scratch)
-    pairs = similar_sets(left.select("l", "grams"), right.select("r", "grams"), scratch, least)
-    close = pairs.join(left.select("l", F.col("words").alias("name_words")), "l").join(right.select("r", F.col("words").alias("form_words")), "r")
+    listed = catalog.where("type_id is not null").select(F.col("type_id").cast("string").alias("type_id"), F.explode(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where("form is not null").distinct()
+    rows = [(" ".join(words), r["type_id"]) for r in listed.collect() if (words := words_of(r["form"]))]
+    shared = names.sparkSession.sparkContext.broadcast(Forms(rows))
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            errors = [cost(n.split(" "), f.split(" ")) for n, f in zip(pdf["name_words"], pdf["form_words"])]
-            pdf = pdf.assign(errors=pd.Series(errors, index=pdf.index, dtype="float64"))
-            yield pdf[pdf["errors"].notna()]
-
-    meant = close.select("name_words", "form_words", "jaccard").mapInPandas(check, "name_words string, form_words string, jaccard double, errors double")
-    entries = meant.join(forms.withColumnRenamed("words", "form_words"), "form_words")
-    best = F.min_by(F.struct("type_id", "jaccard", "errors"), F.struct("errors", -F.round("jaccard", 9), "type_id"))
-    chosen = entries.groupBy(F.col("name_words").alias("words")).agg(best.alias("b"))
-    return once.join(chosen, "words").select("name", "b.*")
+            found = [(w, *b) for w in pdf["words"] if (b := shared.value.best(w.split(" ")))]
+            yield pd.DataFrame(found, columns=["words", "type_id", "jaccard", "errors"])
+
+    # Spellings of one set of words are compared once, in as many tasks as there are cores: the words alone are few bytes.
+    different = once.select("words").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism, "words")
+    chosen = different.mapInPandas(run, "words string, type_id string, jaccard double, errors double")
+    return once.join(chosen, "words").select("name", "type_id", "jaccard", "errors")
 
 
 def assign(candidates: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -160,6 +160,35 @@ def test_names(spark):
     assert none.count() == 0 and canonical.assign(df.limit(0), none).count() == 0
 
 
+SWAPPED = {"pyaroll ibll": "p1", "safrai hpoto": "p2", "loepard ercord": "p3", "oevrhead hpoto": "p4", "a note on the leopard record that was found by the river": "p3", "mat": "", "bat": "", "my cat": "p5", "mycat": "p5", "cat": "p6"}
+
+
+def test_names_with_an_error_in_each_word(spark):
+    """However little alike a name and its entry are as a whole; short words alone allow no error."""
+    catalog = spark.createDataFrame([("p1", "payroll bill", None), ("p2", "safari photo", None), ("p3", "leopard record", None), ("p4", "overhead photo", None), ("p5", "my cat", None), ("p6", "cat", None)], "type_id string, canonical_name string, aliases array<string>")
+    mapped = canonical.map_names(spark.createDataFrame([(n,) for n in SWAPPED], "name string"), catalog, Scratch(spark, "t"))
+    assert {r["name"]: r["type_id"] for r in mapped.collect()} == {n: t for n, t in SWAPPED.items() if t}
+
+
+def test_every_form_that_cost_accepts_is_met():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdies") for _ in range(rng.randint(1, 9))) for _ in range(40)] + ["the", "of", "a1", "tc5w", "ladies"]
+    forms = sorted({" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 5))) for _ in range(150)})
+    index = canonical.Forms([(f, f) for f in forms])
+    accepted = 0
+    for _ in range(400):
+        words = [w for f in rng.sample(forms, rng.randint(1, 2)) for w in f.split(" ")]
+        rng.shuffle(words)
+        for i, w in enumerate(words):
+            at, kind = rng.randrange(len(w)), rng.random()
+            words[i] = w[:at] + w[at + 1 :] if kind < 0.2 and len(w) > 1 else w[:at] + "x" + w[at:] if kind < 0.4 else w[:at] + w[at + 1 : at + 2] + w[at] + w[at + 2 :] if kind < 0.6 else w + "s" if kind < 0.7 else w
+        name = ["".join(words)] if rng.random() < 0.4 else words
+        want = {i for i, f in enumerate(index.forms) if canonical.cost(name, f.split(" ")) is not None}
+        assert want <= index.candidates(name)
+        accepted += len(want)
+    assert accepted > 300
+
+
 def test_set_join_is_exact(spark):
     rng = random.Random(3)
     sets = [sorted({rng.choice("abcdefghij") + rng.choice("abc") for _ in range(rng.randint(1, 12))}) for _ in range(120)]
