@@ -22,14 +22,16 @@ from pyspark.sql import types as T
 from kinweave.llm.vptree import VPTree, shard_search
 from kinweave.storage import Scratch
 
-#: Routing trees; directions in a shard (100,000 take 13 MB as they come and 26 MB as numbers); directions in a leaf of a shard's tree.
+#: Routing trees; directions in a shard with its visitors (by memory: a worker that searches 100,000 peaks at 292 MB, 200,000 at 532 MB); directions in a leaf of a shard's tree.
 TREES, SHARD, LEAF = 2, 100_000, 256
 #: Relaxation of the triangle inequality within a shard and between shards; 1 and 1 give exact search.
-FACTOR, SHARD_FACTOR = 10.0, 25.0
+FACTOR, SHARD_FACTOR = 10.0, 10.0
+#: Directions, with visitors of other shards, that a shard is made for, for each of its own: 4.5 in 64 shards a field of check_l, 7.5 in 256.
+VISITS = 8
 #: Directions to which the routing trees of a field are fitted, all of them in the driver; every direction is then indexed.
 ROUTING_SAMPLE = 12_000
 #: Most shards of a tree: each needs some points of the sample. Beyond, shards grow and their own trees deepen.
-MOST_SHARDS = 512
+MOST_SHARDS = 2048
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +104,11 @@ def _routers(points: DataFrame, counts: dict[str, int], trees: int, shard: int,
         if n <= shard:
             routers[field] = [VPTree.build(np.zeros((0, 1), np.float32), 1)] * trees  # one shard, searched with a tree of its own each time
             continue
-        shards = min(MOST_SHARDS, 1 << math.ceil(math.log2(n / shard)))
+        shards = min(MOST_SHARDS, 1 << math.ceil(math.log2(VISITS * n / shard)))
         share = min(1.0, 1.3 * sample / n)
         part = points.where((F.col("field") == field) & (F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("code").orderBy(F.xxhash64("code")).limit(sample)
         v = decode(sorted(bytes(r[0]) for r in part.collect()))  # in an order that doesn't depend on tasks, as in each shard
-        routers[field] = [VPTree.build(v, max(1, len(v) // shards), seed) for seed in range(trees)]
+        routers[field] = [VPTree.build(v, max(1, math.ceil(len(v) / shards)), seed) for seed in range(trees)]  # rounded up, so that there are no more leaves than shards
     return routers
 
 

@@ -95,6 +95,21 @@ def test_relaxed_recall(spark, cloud):
     assert len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.05 * len(want)
 
 
+def test_several_shards_lose_next_to_nothing(spark, cloud):
+    ids, v = cloud
+    want = brute(ids, v, 5, 0.92)
+    found = {tuple(r)[1:] for r in neighbours.similar_pairs(nearest(spark, ids, v, shard=200, leaf=64)).collect()}
+    assert len(found & want) >= 0.99 * len(want) and len(found - want) <= 0.01 * len(want)
+
+
+def test_shards_are_made_for_visitors_too(spark):
+    """The number of a shard stays below MOST_SHARDS, so shards of different trees and fields never mix."""
+    codes = neighbours.encode(np.random.default_rng(3).normal(size=(3000, 64)))
+    points = spark.createDataFrame([("f", c) for c in codes], "field string, code binary")
+    for shard, leaves in ((3000, 1), (2999, 16), (375, 64), (2, neighbours.MOST_SHARDS)):
+        assert {t.leaves for t in neighbours._routers(points, {"f": 3000}, 2, shard, 2900)["f"]} == {leaves}
+
+
 def test_shard_search_exact(cloud):
     _, v = cloud
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
