@@ -76,9 +76,10 @@ def by_id_start(rows: DataFrame, key: str, starts: DataFrame) -> DataFrame:
     """start, key, outcome for each start of an id: found, not_found, or ambiguous with the smallest of several ids."""
     length = F.length("start")
     lengths = starts.where("start <> ''").select("start", length.alias("n")).distinct()
-    # An equi-join for each length of start, of which there are few.
+    # An equi-join for each length of start, of which there are no more than an id has characters; longer starts begin none.
     keys = rows.select(F.col(key).alias("k")).distinct()
-    sizes = [r[0] for r in lengths.select("n").distinct().limit(64).collect()]
+    longest = rows.agg(F.max(F.length(key))).first()[0] or 0
+    sizes = [r[0] for r in lengths.select("n").distinct().where(F.col("n") <= longest).collect()]
     cut = keys.select("k", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.substring("k", 1, n).alias("start")) for n in sizes)) if sizes else F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("start")))).alias("c")).select("k", "c.n", "c.start")
     hits = lengths.join(cut, ["start", "n"]).groupBy("start").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("hits"))
     return lengths.select("start").join(hits, "start", "left").select("start", F.col("k").alias(key), F.when(F.col("hits").isNull(), "not_found").when(F.col("hits") > 1, "ambiguous").otherwise("found").alias("outcome"))

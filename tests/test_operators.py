@@ -297,6 +297,13 @@ def test_repointed(made, got):
     assert got(types.repointed(rows, "t", made([("a", "b")], "old string, new string")).select("o", "t")) == [("o1", "b"), ("o2", None), ("o3", "c")]
 
 
+def test_id_starts_of_many_lengths(made, got):
+    ids = ["a" * 100 + "b", "a" * 40]
+    starts = [("a" * n,) for n in range(1, 101)] + [("a" * 300,), ("b",)]
+    out = {r[0]: r[2] for r in got(world.by_id_start(made([(i,) for i in ids], "id string"), "id", made(starts, "start string")))}
+    assert out == {s: "not_found" if s in ("b", "a" * 300) else "ambiguous" if len(s) <= 40 else "found" for (s,) in starts}
+
+
 def test_world(spark, made, got, tmp_path):
     assert len(world.init_world(spark, str(tmp_path))) == 13 and world.init_world(spark, str(tmp_path)) == []
     assert spark.read.parquet(f"{tmp_path}/entities.parquet").count() == 0
