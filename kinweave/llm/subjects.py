@@ -220,8 +220,8 @@ def weigh_rarity(terms: Terms, documents: int, frequency: dict[str, int]) -> Ter
 
 
 def learn(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most: int = MOST_LABELLED) -> Terms:
-    """Terms, weights and share, for the closed list of subjects (at most some hundred rows)."""
-    names = sorted({r[0] for r in subjects.select(F.lower(F.trim("subject"))).where("subject is not null").distinct().limit(1000).collect()})
+    """Terms, weights and share, for the closed list of subjects, all of it in the driver."""
+    names = sorted({r[0] for r in subjects.select(F.lower(F.trim("subject"))).where("subject is not null").distinct().collect()})
     sample = labelled_sample(documents, labels, names, most)
     held = sample[::CALIBRATE]
     terms = fit(names, [x for i, x in enumerate(sample) if i % CALIBRATE])

@@ -435,6 +435,13 @@ def test_subjects(spark, corpus):
     assert none.weights == {} and subjects.assign(d, none).count() == 0 and subjects.assign(d.limit(0), terms).count() == 0
 
 
+def test_all_subjects_count(spark):
+    d = spark.createDataFrame([(i, f"word{i} ship.") for i in range(8)], "doc_id long, text string")
+    named = spark.range(1200).selectExpr("concat('s', id) AS subject")
+    marks = spark.createDataFrame([(i, "s7") for i in range(8)], "doc_id long, subject string")
+    assert subjects.learn(d, marks, named).subjects == sorted(f"s{i}" for i in range(1200))
+
+
 def test_terms_are_words():
     terms = subjects.Terms(["a"], {"cat": (0, 2.0)})
     assert [terms.assigned(t) for t in ("A cat.", "concatenate", "CAT", "cat2 cats", "")] == [[0], [], [0], [0], []]
