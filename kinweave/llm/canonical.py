@@ -25,6 +25,8 @@ from kinweave.storage import Scratch
 #: Least Jaccard similarity of the bigrams of a name and a form in whose short words or codes there may be errors.
 LEAST = 0.35
 #: Words without a meaning of their own, which an entry's form doesn't need.
+#: Cost of a word that isn't meant, more than all errors of any name.
+NONE = 1e6
 LINKING = frozenset({"of", "the", "a", "an"})
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -91,12 +93,57 @@ def word_cost(word: str, meant: str) -> float | None:
     return 1.5 if edits(singular(word), singular(meant), 1) == 1 else None
 
 
+def split_cost(word: str, parts: tuple[str, ...]) -> int:
+    """The errors of a word that can be cut into all parts, in any order and each with one error at most; more than there are parts if it can't."""
+    states = {(tuple(sorted(parts)), 0): 0}
+    for _ in parts:
+        after: dict = {}
+        for (left, at), errors in states.items():
+            for i, part in enumerate(left):
+                if i and part == left[i - 1]:
+                    continue
+                for end in range(at + len(part) - 1, min(at + len(part) + 1, len(word)) + 1):
+                    if (c := edits(word[at:end], part, 1)) <= 1:
+                        key = (left[:i] + left[i + 1 :], end)
+                        after[key] = min(errors + c, after.get(key, errors + c))
+        states = after
+    return states.get(((), len(word)), len(parts) + 1)
+
+
+def assigned(costs: list[list[float]]) -> float:
+    """The least sum of a different column for each row, of which there are no more than columns (Hungarian method)."""
+    n, m = len(costs), len(costs[0])
+    u, v, row, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row[0], at, least, used = i, 0, [float("inf")] * (m + 1), [False] * (m + 1)
+        while row[at]:
+            used[at] = True
+            for j in range(1, m + 1):
+                if not used[j] and (c := costs[row[at] - 1][j - 1] - u[row[at]] - v[j]) < least[j]:
+                    least[j], way[j] = c, at
+            nearest = min((j for j in range(1, m + 1) if not used[j]), key=least.__getitem__)
+            delta = least[nearest]
+            for j in range(m + 1):
+                if used[j]:
+                    u[row[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            at = nearest
+        while at:
+            row[at], at = row[way[at]], way[at]
+    return sum(costs[row[j] - 1][j - 1] for j in range(1, m + 1) if row[j])
+
+
 @lru_cache(1 << 16)
 def joined_cost(word: str, parts: tuple[str, ...]) -> float | None:
     """The cost of several words written as one, in any order, with one error for each of them."""
     if any(c.isdigit() for c in word) or abs(len(word) - sum(map(len, parts))) > len(parts):
         return 0.25 if word == "".join(parts) else None
-    best = min(edits(w, "".join(p), len(parts)) for p in permutations(parts) for w in (word, singular(word)))
+    if len(parts) > 4:  # with errors anywhere, as below, a whole word could be missing
+        best = min(split_cost(w, parts) for w in (word, singular(word)))
+    else:
+        best = min(edits(w, "".join(p), len(parts)) for p in permutations(parts) for w in (word, singular(word)))
     return 0.25 + best if best <= len(parts) else None
 
 
@@ -119,24 +166,15 @@ def jaccard(name: list[str], form: list[str]) -> float:
 def cost(name: list[str], form: list[str]) -> float | None:
     """The errors with which a name says all words of a form; None if it lacks one of them."""
     meant = meaning(form)
-    if not meant or len(meant) > 6:  # longer forms are only found in their own order
-        return 0.0 if meant and name == form else None
-    left, total = list(name), 0.0
-    for m in sorted(meant, key=len, reverse=True):
-        options = [(c, w) for w in left if (c := word_cost(w, m)) is not None]
-        if not options:
-            break
-        c, w = min(options)
-        left.remove(w)
-        total += c
-    else:
-        return total
-    if len(meant) <= 4:
-        options = [c for w in as_one(name) if (c := joined_cost(w, tuple(meant))) is not None]
-        # Short words and codes allow no error of their own: more errors than long words are for names alike as a whole ("mat" isn't "my cat").
-        sure = 0 if any(c.isdigit() for w in meant for c in w) else sum(len(w) >= 4 for w in meant)
-        if options and (min(options) - 0.25 <= sure or jaccard(name, form) >= LEAST):
-            return min(options)
+    if len(meant) <= len(name):
+        costs = [[NONE if (c := word_cost(w, m)) is None else c for w in name] for m in meant]
+        if all(min(c) < NONE for c in costs) and (total := assigned(costs)) < NONE:
+            return total
+    options = [c for w in as_one(name) if (c := joined_cost(w, tuple(meant))) is not None]
+    # Short words and codes allow no error of their own: more errors than long words are for names alike as a whole ("mat" isn't "my cat").
+    sure = 0 if any(c.isdigit() for w in meant for c in w) else sum(len(w) >= 4 for w in meant)
+    if options and (min(options) - 0.25 <= sure or jaccard(name, form) >= LEAST):
+        return min(options)
     return None
 
 

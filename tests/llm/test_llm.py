@@ -204,6 +204,16 @@ def test_every_form_that_cost_accepts_is_met():
     assert accepted > 300
 
 
+def test_forms_of_many_words():
+    form = "annual report about protected wetland birds observed near rivers".split()
+    swapped = [w[1] + w[0] + w[2:] for w in reversed(form)]
+    assert canonical.cost(swapped, form) == len(form) and canonical.cost(form[1:], form) is None
+    assert canonical.cost(["".join(form[3:] + form[:3])], form) == 0.25
+    assert canonical.Forms([(" ".join(form), "t")]).best(swapped)[0] == "t"
+    assert canonical.cost(["".join(swapped)], form) == 9.25 and canonical.cost(["".join(form[1:])], form) is None
+    assert canonical.cost(["reports", "reportx"], ["report", "reports"]) == 1.0
+
+
 def test_set_join_is_exact(spark):
     rng = random.Random(3)
     sets = [sorted({rng.choice("abcdefghij") + rng.choice("abc") for _ in range(rng.randint(1, 12))}) for _ in range(120)]
