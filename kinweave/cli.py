@@ -54,7 +54,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
             of = (("observations", "medium"), ("entities", "status"), ("types", "status"), ("type_candidates", "status"))
             return {name: world.counts(t(name), column).orderBy(F.col("n").desc()) for name, column in of}
         case "show-world":
-            return {"entities": world.by_nature(t("entities")).orderBy("nature_rank", "place")}
+            return {"entities": world.by_nature(t("entities")).orderBy("nature_rank", F.coalesce("name", F.lit("")), "entity_id")}
         case "show-links":
             links = t("observation_entity_links")
             shown = world.shared_entities(links, t("entities")) if args.multi else world.links_per_entity(links)

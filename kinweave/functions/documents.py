@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The most characters, lines, list items, characters of a leaf, levels and scanned items.
+#: The most characters, lines, list items and characters of a leaf in a flat text; levels of a schema; levels and list items that are searched for identifiers.
 MOST_CHARS, MOST_LINES, MOST_ITEMS, MOST_LEAF, SCHEMA_LEVELS, SCAN_LEVELS, SCAN_ITEMS = 8000, 200, 10, 200, 5, 10, 100
 #: Keys whose values identify something.
-ID_KEYS = frozenset(
-    "sku product_id productid item_id itemid upc ean gtin asin isbn order_id orderid booking_id bookingid trip_id tripid reservation_id reservationid"
-    " transaction_id transactionid invoice_id invoiceid id uuid guid external_id externalid ref reference code".split()
-)
+ID_KEYS = (
+    "sku", "product_id", "productid", "item_id", "itemid", "upc", "ean", "gtin", "asin", "isbn",
+    "order_id", "orderid", "booking_id", "bookingid", "trip_id", "tripid", "reservation_id", "reservationid", "transaction_id", "transactionid", "invoice_id", "invoiceid",
+    "id", "uuid", "guid", "external_id", "externalid", "ref", "reference", "code",
+)
+#: The name that a schema gives to each kind of JSON value.
+KINDS = {dict: "object", list: "array", str: "string", int: "integer", float: "number", bool: "boolean", type(None): "null"}
 
 
 def decoded(content: Column | str) -> Column:
@@ -39,67 +45,82 @@ def _parsed(text: str | None):
         return None
 
 
+def nodes(value, items: int | None = None, levels: int | None = None) -> Iterator[tuple[tuple, object, bool]]:
+    """(path, node, more) of a JSON value and of all below it, in the order of the text.
+
+    A path holds the keys and list positions from the top.  Lists go on for ``items`` items and
+    values for ``levels`` levels, None for all; a list with more items comes once again after its
+    last one, with ``more`` set.
+    """
+    waiting: list[tuple[tuple, object, bool]] = [((), value, False)]
+    while waiting:
+        path, node, more = waiting.pop()
+        yield path, node, more
+        if more or (levels is not None and len(path) >= levels) or not isinstance(node, (dict, list)):
+            continue
+        if isinstance(node, dict):
+            waiting += [((*path, k), v, False) for k, v in reversed(node.items())]
+            continue
+        taken = node[:items]
+        if len(taken) < len(node):
+            waiting.append((path, node, True))
+        waiting += [((*path, i), taken[i], False) for i in range(len(taken) - 1, -1, -1)]
+
+
 def infer_schema(value, levels: int = SCHEMA_LEVELS) -> dict:
     """The type lattice of a JSON value; an array has the type of its first item."""
-    if levels <= 0:
-        return {"type": "any"}
-    if isinstance(value, dict):
-        return {"type": "object", "properties": {k: infer_schema(value[k], levels - 1) for k in sorted(value)}}
-    if isinstance(value, list):
-        return {"type": "array", "items": infer_schema(value[0], levels - 1) if value else {"type": "any"}}
-    kinds = ((type(None), "null"), (bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"))
-    return {"type": next(name for kind, name in kinds if isinstance(value, kind))}
+    made: dict[tuple, dict] = {}
+    for path, node, more in nodes(value, 1, levels):
+        if more:
+            continue
+        kind = "any" if len(path) >= levels else KINDS[type(node)]
+        made[path] = {"type": kind} | {"object": {"properties": {}}, "array": {"items": {"type": "any"}}}.get(kind, {})
+        if path and isinstance(path[-1], str):
+            made[path[:-1]]["properties"][path[-1]] = made[path]
+        elif path:
+            made[path[:-1]]["items"] = made[path]
+    return made[()]
 
 
 def schema_hash(value) -> str:
     return hashlib.sha256(json.dumps(infer_schema(value), sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 
 
+def _at(path: tuple) -> str:
+    return "".join(f"[{p}]" if isinstance(p, int) else f".{p}" for p in path).removeprefix(".")
+
+
 def flatten(value, most_chars: int = MOST_CHARS) -> str:
-    """``a.b[0]: leaf`` lines."""
-
-    def walk(v, at: str) -> Iterator[str]:
-        if isinstance(v, dict):
-            for k, x in v.items():
-                yield from walk(x, f"{at}.{k}" if at else k)
-        elif isinstance(v, list):
-            for i, x in enumerate(v[:MOST_ITEMS]):
-                yield from walk(x, f"{at}[{i}]")
-            if len(v) > MOST_ITEMS:
-                yield f"{at}: ... ({len(v)} items)"
-        else:
-            leaf = "null" if v is None else str(v)
-            yield f"{at}: {leaf[:MOST_LEAF] + '...' if len(leaf) > MOST_LEAF else leaf}"
-
-    lines = []
-    for line in walk(value, ""):
-        if len(lines) == MOST_LINES:
-            break
-        lines.append(line)
+    """``a.b[0]: leaf`` lines, and a note after each list that goes on."""
+    lines: list[str] = []
+    open_lists: set[tuple] = set()
+    for path, node, more in nodes(value, MOST_ITEMS):
+        if more and path in open_lists:
+            lines.append(f"{_at(path)}: ... ({len(node)} items)")
+        elif len(lines) >= MOST_LINES:  # only the notes of lists that began before are still due
+            if not open_lists:
+                break
+        elif isinstance(node, list):
+            if len(node) > MOST_ITEMS:
+                open_lists.add(path)
+        elif not isinstance(node, dict):
+            leaf = "null" if node is None else str(node)
+            lines.append(f"{_at(path)}: {leaf[:MOST_LEAF]}{'...' if len(leaf) > MOST_LEAF else ''}")
     return "\n".join(lines)[:most_chars]
 
 
-def scan_ids(value, namespace: str = "json") -> list[tuple[str, str, str]]:
-    """(id_type, id_value, id_namespace) under the listed keys, each once; other keys are searched further."""
-    found: dict[tuple[str, str, str], None] = {}
-
-    def walk(v, levels: int) -> None:
-        if levels <= 0:
-            return
-        if isinstance(v, dict):
-            for k, x in v.items():
-                if (low := k.lower()) not in ID_KEYS:
-                    walk(x, levels - 1)
-                elif isinstance(x, (str, int)) and not isinstance(x, bool) and (text := str(x).strip()):
-                    found[(low.replace("-", "_"), text, namespace)] = None
-        elif isinstance(v, list):
-            for x in v[:SCAN_ITEMS]:
-                walk(x, levels - 1)
+def scan_ids(value, namespace: str = "json", levels: int | None = SCAN_LEVELS, items: int | None = SCAN_ITEMS) -> list[tuple[str, str, str]]:
+    """(id_type, id_value, id_namespace) of the texts and whole numbers under the listed keys, each once.
 
-    walk(value, SCAN_LEVELS)
-    return list(found)
+    Nothing is searched below such a key.  ``levels`` and ``items`` (of each list) bound the
+    search; None searches all.
+    """
+    named = lambda key: isinstance(key, str) and key.lower() in _ID_KEYS
+    found = [(path[-1].lower(), str(node).strip(), namespace) for path, node, _ in nodes(value, items, levels) if path and named(path[-1]) and type(node) in (str, int) and not any(map(named, path[:-1]))]
+    return [i for i in dict.fromkeys(found) if i[1]]
 
 
+_ID_KEYS = frozenset(ID_KEYS)
 _ID = T.StructType([T.StructField(n, T.StringType()) for n in ("id_type", "id_value", "id_namespace")])
 JSON_FEATURES = T.StructType([
     T.StructField("valid", T.BooleanType()), T.StructField("is_array", T.BooleanType()), T.StructField("key_count", T.IntegerType()),
@@ -129,11 +150,37 @@ def extract_with(df: DataFrame, content: str, extractor: Callable[[pd.Series], p
     return df.withColumn("extracted", F.pandas_udf(extractor, schema)(content))
 
 
-def embed_with(df: DataFrame, text: str, embedder: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """A user's embedder (texts to lists of numbers) over a column, as column ``embedding``."""
+def hashed_embedder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
+    """An embedder that needs no model: words are hashed to signed places of a vector of length one; texts without words have none."""
+
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            v = np.zeros(dim)
+            for word in re.findall(r"\w+", (text or "").lower()):
+                h = zlib.crc32(word.encode())
+                v[h % dim] += 1 if h >> 31 else -1
+            length = np.linalg.norm(v)
+            out.append((v / length).tolist() if length else None)
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return embed
+
+
+def embed_with(df: DataFrame, text: str, embedder: Callable[[pd.Series], pd.Series] | None = None, batch: int = 32) -> DataFrame:
+    """An embedder (texts to lists of numbers, in order) over a column, ``batch`` texts a call, as column ``embedding``.
+
+    NULL texts aren't given to it and have no embedding.  Without an embedder, words are hashed.
+    """
+    call = embedder or hashed_embedder()
 
     def run(series: pd.Series) -> pd.Series:
-        return embedder(series)
+        texts = series.dropna()
+        parts = [call(texts.iloc[at : at + batch]) for at in range(0, len(texts), batch)]
+        out = pd.Series([None] * len(series), index=series.index, dtype=object)
+        for part in parts:
+            out.loc[part.index] = part
+        return out
 
     run.__annotations__ = {"series": pd.Series, "return": pd.Series}
     return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(text))

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.functions.documents import decoded
+
 #: First bytes (in hexadecimal) and their medium; brands of an ftyp box; kinds of a RIFF container.
 MAGIC = {
     "FFD8FF": "image", "89504E470D0A1A0A": "image", "474946383761": "image", "474946383961": "image", "424D": "image", "49492A00": "image", "4D4D002A": "image",
@@ -18,11 +20,11 @@ MAGIC = {
 RIFF = {"WEBP": "image", "WAVE": "audio", "AVI ": "video"}
 IMAGE_BRANDS, AUDIO_BRANDS = ("heic", "heix", "hevc", "hevx", "mif1", "msf1", "crx ", "cr3 "), ("M4A ", "M4B ")
 EXTENSIONS = {
-    "image": "jpg jpeg png gif webp bmp tiff tif heic heif svg ico raw arw cr2 cr3 nef nrw orf rw2 pef srw x3f raf dng dcr kdc mrw 3fr mef mos erf rwl",
-    "video": "mp4 mov avi webm mkv m4v wmv flv",
-    "audio": "mp3 wav flac ogg m4a aac wma",
-    "text": "txt md rst csv tsv log xml html htm",
-    "json": "json jsonl geojson",
+    "image": ("jpg", "jpeg", "png", "gif", "webp", "bmp", "tiff", "tif", "heic", "heif", "svg", "ico", "raw", "arw", "cr2", "cr3", "nef", "nrw", "orf", "rw2", "pef", "srw", "x3f", "raf", "dng", "dcr", "kdc", "mrw", "3fr", "mef", "mos", "erf", "rwl"),
+    "video": ("mp4", "mov", "avi", "webm", "mkv", "m4v", "wmv", "flv"),
+    "audio": ("mp3", "wav", "flac", "ogg", "m4a", "aac", "wma"),
+    "text": ("txt", "md", "rst", "csv", "tsv", "log", "xml", "html", "htm"),
+    "json": ("json", "jsonl", "geojson"),
 }
 AFFORDANCES = {
     "image": ["can_caption", "can_detect_objects", "can_embed_image", "can_extract_exif"],
@@ -34,6 +36,8 @@ AFFORDANCES = {
 }
 #: Fixed value: bytes that a probe of a path reads.
 HEADER_BYTES = 32
+#: Characters that can't be printed: control, format and unassigned ones, and separators other than a space, a tab and line ends.
+_UNPRINTABLE = r"[\p{C}\p{Z}&&[^ \t\r\n]]"
 
 
 def _column(c: Column | str) -> Column:
@@ -56,44 +60,49 @@ def medium_by_magic(content: Column | str) -> Column:
     return F.coalesce(F.when(long & (word(1) == "RIFF"), _cases(word(9), RIFF)), brand, magic)
 
 
-@F.pandas_udf(T.StringType())
-def medium_by_text(content: pd.Series) -> pd.Series:
-    """json, text or NULL; a Python function, as printable is what Python calls printable."""
-
-    def readable(text: str) -> bool:
-        head = text[:1000]
-        return bool(head) and sum(c.isprintable() or c in "\n\r\t" for c in head) > 0.9 * len(head)
+@F.pandas_udf(T.BooleanType())
+def _is_json(texts: pd.Series) -> pd.Series:
+    """Whether Python's parser takes a text; NULL for NULL."""
 
-    def probe(data: bytes | None) -> str | None:
-        if not data:
+    def valid(text: str | None) -> bool | None:
+        if text is None:
             return None
         try:
-            text = bytes(data).decode("utf-8")
-        except UnicodeDecodeError:
-            text = bytes(data).decode("latin-1")
-            if not readable(text):
-                return None
-        if (stripped := text.strip()).startswith(("{", "[")):
-            try:
-                json.loads(stripped)
-                return "json"
-            except ValueError:
-                pass
-        return "text" if readable(text) else None
-
-    return content.map(probe)
+            json.loads(text.strip())
+            return True
+        except ValueError:
+            return False
+
+    return texts.map(valid).astype("boolean")
+
+
+def readable(text: Column) -> Column:
+    """Whether over nine tenths of the first 1,000 characters can be printed."""
+    head = F.substring(text, 1, 1000)
+    return F.length(head) - F.regexp_count(head, F.lit(_UNPRINTABLE)) > 0.9 * F.length(head)
+
+
+def medium_by_text(content: Column | str, unless: Column | None = None) -> Column:
+    """json, text or NULL.  Python parses only what may be JSON by its first character, and nothing where ``unless`` holds."""
+    c = _column(content)
+    text, plain = decoded(c), F.is_valid_utf8(c.cast("string"))
+    legible = readable(text)
+    begins = text.rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*[\[{]") & (plain | legible)
+    begins = begins if unless is None else begins & ~F.coalesce(unless, F.lit(False))
+    return F.when(F.coalesce(_is_json(F.when(begins, text)), F.lit(False)), "json").when(legible, "text")
 
 
 def medium_by_extension(path: Column | str) -> Column:
     name = F.substring_index(_column(path), "/", -1)
     suffix = F.lower(F.when(name.rlike(r"^.+\.[^.]+$"), F.substring_index(name, ".", -1)))
-    return _cases(suffix, {e: medium for medium, all_ in EXTENSIONS.items() for e in all_.split()})
+    return _cases(suffix, {e: medium for medium, all_ in EXTENSIONS.items() for e in all_})
 
 
 def probe_medium(content: Column | str, path: Column | str) -> Column:
     """First bytes, then text, then file name; empty contents and the rest are binary."""
     c = _column(content)
-    return F.when(c.isNull() | (F.length(c) == 0), "binary").otherwise(F.coalesce(medium_by_magic(c), medium_by_text(c), medium_by_extension(path), F.lit("binary")))
+    magic = medium_by_magic(c)
+    return F.when(c.isNull() | (F.length(c) == 0), "binary").otherwise(F.coalesce(magic, medium_by_text(c, magic.isNotNull()), medium_by_extension(path), F.lit("binary")))
 
 
 def probe_header(content: Column | str, path: Column | str) -> Column:

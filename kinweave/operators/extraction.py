@@ -18,9 +18,10 @@ def extracted(contents: DataFrame, content: str = "content", medium: str = "medi
     Texts are decoded and cut to an excerpt, JSON is flattened and searched for identifiers (broken
     JSON has no features), images give the identifiers of their EXIF ``tags`` (a map column) if
     they have any, videos and sounds a note, and all of them their size.  NULL contents have size 0.
+    Python sees the texts of JSON rows only, NULL in the place of all others.
     """
     text, kind = decoded(content), F.col(medium)
-    rows = contents.withColumn("_t", F.when(kind == "text", text_features(text))).withColumn("_j", F.when(kind == "json", json_features(text)))
+    rows = contents.withColumn("_t", F.when(kind == "text", text_features(text))).withColumn("_j", json_features(F.when(kind == "json", text)))
     image_ids = exif_ids(tags) if tags else F.array().cast(_IDS)
     ids = F.when(kind == "json", F.coalesce("_j.ids", F.array().cast(_IDS))).when(kind == "image", image_ids.cast(_IDS)).otherwise(F.array().cast(_IDS))
     return rows.select(

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.functions.media import EXTENSIONS, affordances, probe_medium
+from kinweave.functions.media import affordances, probe_medium
 from kinweave.functions.names import derived_id
 
 #: Extensions of the files that a folder scan takes.
-SCANNED = sorted({e for kind in ("image", "text", "json", "video", "audio") for e in EXTENSIONS[kind].split()})
+SCANNED = (
+    "jpg", "jpeg", "png", "gif", "webp", "bmp", "tiff", "tif",
+    "raw", "arw", "cr2", "cr3", "nef", "nrw", "orf", "rw2", "pef", "srw", "x3f", "raf", "dng", "dcr", "kdc", "mrw", "3fr", "mef", "mos", "erf", "rwl",
+    "txt", "md", "rst", "csv",
+    "json",
+)
 
 
 def scan_files(spark: SparkSession, path: str, recursive: bool = False, single: bool = False) -> DataFrame:
-    """source_id, content of the files under a folder; a single path is taken whatever its extension."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return (files if single else files.where(suffix.isin(SCANNED))).select(F.col("path").alias("source_id"), "content")
+    """source_id, content of the files under a folder; a single path is taken whatever its extension.
+
+    Other files are left out when the folder is listed, before any of their bytes are read.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if not single:
+        anycase = ("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in SCANNED)
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(anycase) + "}")
+    return reader.load(path).select(F.col("path").alias("source_id"), "content")
 
 
 def content_hash(content: Column | str) -> Column:
@@ -41,11 +51,12 @@ def new_blobs(candidates: DataFrame, known: DataFrame) -> DataFrame:
 def new_observations(incoming: DataFrame, known: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """Rows of ``incoming`` (blob_id, source_id, ...) whose content at that source is new; of equal ones the first.
 
-    The same content elsewhere is a new observation of the shared blob.
+    The same content elsewhere is a new observation of the shared blob.  ``order`` differs from row
+    to row.  Only the keys are grouped; the rows, which may carry contents, are met by order after.
     """
-    fresh = incoming.join(known.select("blob_id", "source_id").distinct(), ["blob_id", "source_id"], "left_anti")
-    first = Window.partitionBy("blob_id", "source_id").orderBy(order)
-    return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    keys = ["blob_id", "source_id"]
+    firsts = incoming.groupBy(*keys).agg(F.min(order).alias(order)).join(known.select(*keys), keys, "left_anti")
+    return incoming.join(firsts, [*keys, order], "left_semi")
 
 
 def probed(contents: DataFrame, content: str = "content", source: str = "source_id") -> DataFrame:

@@ -17,6 +17,10 @@ WEIGHTS = {
 }
 
 
+#: Fixed value: a signal below it contradicts an uncertain match.
+MISMATCH = 0.3
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """The least score of a link, of a candidate, the margin, and those of images."""
@@ -59,21 +63,19 @@ def facet_agreement(facets: Column, slots: Column, matches) -> Column:
 def with_margin(scored: DataFrame, *seed: str) -> DataFrame:
     """The best candidate of each seed: adds second, margin and pool_size; ties go to the nearer, then the smaller id.
 
-    One aggregation: the two best are kept of each task, whatever the size of a pool.
+    One shuffle and one sort of the scores; a seed has at most as many candidates as are kept of a pool.
     """
-    order = F.struct(-F.col("score"), F.coalesce(F.col("rank").cast("long"), F.lit(0)), F.col("entity_id"))
-    by = Window.partitionBy(*seed).orderBy(order)
-    two = scored.withColumn("_n", F.row_number().over(by)).where("_n <= 2")
-    sizes = scored.groupBy(*seed).agg(F.count(F.lit(1)).alias("pool_size"))
-    seconds = two.where("_n = 2").select(*seed, F.col("score").alias("second"))
-    best = two.where("_n = 1").drop("_n").join(seconds, list(seed), "left").join(sizes, list(seed))
-    return best.withColumn("second", F.coalesce("second", F.lit(0.0))).withColumn("margin", F.col("score") - F.col("second"))
+    own = Window.partitionBy(*seed)
+    by = own.orderBy(F.col("score").desc(), F.coalesce(F.col("rank").cast("long"), F.lit(0)), "entity_id")
+    rows = scored.withColumn("second", F.lead("score", 1, 0.0).over(by)).withColumn("pool_size", F.count(F.lit(1)).over(own)).withColumn("_n", F.row_number().over(by))
+    return rows.where("_n = 1").drop("_n").withColumn("second", F.coalesce("second", F.lit(0.0))).withColumn("margin", F.col("score") - F.col("second"))
 
 
 def decide(best: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Adds decision (link, candidate or new), posterior and flags to best candidates (see with_margin).
 
-    Needs score, margin, pool_size, nature, image (NULL if unavailable) and sparse.
+    Needs score, margin, pool_size, nature, image (NULL if unavailable) and sparse; of location,
+    timestamp and low_evidence, which only set flags, those that are there.
     A seed without a query vector or pool has no row here: it makes a new entity (see links_of).
     """
     visual = (F.col("nature") == "individual") & F.col("image").isNotNull()
@@ -82,12 +84,17 @@ def decide(best: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     link, asks = (F.col("score") >= t.link) & guard, F.col("score") >= t.new
     decision = F.when(link, "link").when(asks, "candidate").otherwise("new")
     posterior = F.when(link | asks, F.col("score")).otherwise(0.8)
+    uncertain, given = ~link & asks, set(best.columns)
+    far = lambda signal: uncertain & (F.col(signal) < MISMATCH) if signal in given else F.lit(False)
     flags = F.array_compact(F.array(
         F.when(link & (F.col("margin") < t.margin), "margin_review"),
         F.when(link & visual & F.col("sparse") & (F.col("margin") < t.image_margin), "low_image_margin"),
         F.when(link & single, "single_candidate"),
-        F.when(~link & asks, "uncertain_match"),
-        F.when(~link & asks & visual & (F.col("image") >= 0.85), "high_visual_similarity"),
+        F.when(uncertain, "uncertain_match"),
+        F.when(uncertain & (F.col("image") >= 0.85), "high_visual_similarity"),
+        F.when(far("location"), "context_mismatch_gps"),
+        F.when(far("timestamp"), "context_mismatch_time"),
+        F.when(uncertain & F.col("low_evidence") if "low_evidence" in given else F.lit(False), "low_evidence"),
         F.when(~link & ~asks, "no_match_found"),
     ))
     return best.withColumn("decision", decision).withColumn("posterior", posterior).withColumn("flags", flags)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The tables of a world, with their columns.
@@ -59,12 +59,11 @@ def link_matrix(links: DataFrame, observations: list[str]) -> DataFrame:
 
 
 def by_nature(entities: DataFrame) -> DataFrame:
-    """entity_id, nature, name, place: entities ordered by nature and name."""
+    """entity_id, nature, nature_rank, name; shown in the order of nature_rank, name and entity_id."""
     natures = ("event", "individual", "class", "group")
     nature = F.coalesce("entity_nature", F.lit("unknown"))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, natures)), nature), F.lit(0))
-    order = Window.partitionBy("nature").orderBy(F.coalesce("name", F.lit("")), "entity_id")
-    return entities.select("entity_id", nature.alias("nature"), F.when(rank == 0, len(natures) + 1).otherwise(rank).cast("int").alias("nature_rank"), F.col("name")).withColumn("place", F.row_number().over(order))
+    return entities.select("entity_id", nature.alias("nature"), F.when(rank == 0, len(natures) + 1).otherwise(rank).cast("int").alias("nature_rank"), F.col("name"))
 
 
 def search_sources(observations: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -106,5 +105,5 @@ def show(kind: str, identifier: str, tables: dict[str, DataFrame]) -> dict[str,
         if kind == "type":
             columns = [c for c in ("stable_type_id", "type_id", "source_type_id", "target_type_id") if c in df.columns]
         if name != home and columns:
-            out[name] = df.where(" or ".join(f"{c} = '{identifier}'" for c in columns) if identifier.isalnum() else F.lit(False))
+            out[name] = df.where(reduce(lambda a, b: a | b, (F.col(c) == F.lit(identifier) for c in columns)))
     return out

@@ -67,7 +67,7 @@ def new_contents(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.new_blobs(mine, known).select("sha256")
 
 
-_EXTENSION = " ".join(f"WHEN e IN ({', '.join(repr(e) for e in all_.split())}) THEN '{medium}'" for medium, all_ in media.EXTENSIONS.items())
+_EXTENSION = " ".join(f"WHEN e IN ({', '.join(repr(e) for e in all_)}) THEN '{medium}'" for medium, all_ in media.EXTENSIONS.items())
 
 
 @query(f"""SELECT observation_id, ingest_seq, CASE {_EXTENSION} END AS medium FROM (
@@ -599,8 +599,7 @@ def multi_linked(spark: SparkSession, folder: str) -> DataFrame:
     return world.shared_entities(reconcile.reconcile(_seed_links(spark, folder)), e).select("entity_id", "observations", "name")
 
 
-@query(f"""SELECT entity_id, nature, nature_rank, name, row_number() OVER (PARTITION BY nature ORDER BY coalesce(name, ''), entity_id)::INTEGER AS place FROM (
- SELECT entity_id, coalesce(entity_nature, 'unknown') AS nature, CASE entity_nature WHEN 'event' THEN 1 WHEN 'individual' THEN 2 WHEN 'class' THEN 3 WHEN 'group' THEN 4 ELSE 5 END AS nature_rank, name FROM {_ENT})""")
+@query(f"""SELECT entity_id, coalesce(entity_nature, 'unknown') AS nature, CASE entity_nature WHEN 'event' THEN 1 WHEN 'individual' THEN 2 WHEN 'class' THEN 3 WHEN 'group' THEN 4 ELSE 5 END AS nature_rank, name FROM {_ENT}""")
 def world_by_nature(spark: SparkSession, folder: str) -> DataFrame:
     return world.by_nature(current_rows(table(spark, folder, "entities"), "entity_id", "entity_nature", "name"))
 

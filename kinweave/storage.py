@@ -11,9 +11,12 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; where none is named (tests), one of our own is made and named."""
+    """The session's shared folder.  Where none is named, a local session gets one of its own; a cluster has to name one."""
     folder = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set {SHARED} to a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.conf.set(SHARED, folder)
     return folder.rstrip("/")
@@ -22,12 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables of one run, each written once and read back from the shared folder.
 
-    A written table outlives any executor, so a lost one costs only its running tasks.
+    A written table outlives any executor, so a lost one costs only its running tasks.  All of
+    them go when the driver ends, as results may read them until then; see ``drop`` and ``clear``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}".rstrip("/")

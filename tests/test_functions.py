@@ -152,3 +152,55 @@ def test_slot_lists_and_bad_texts(spark, got):
 def test_warning_cap(spark):
     df = spark.createDataFrame([(1, json.dumps({f"n{i:02}": i for i in range(30)}))] * 2, "k int, s string")
     assert slots.warning_evidence(slots.normalize_slots(df, "k", "s"), "k").count() == 20
+
+
+RICH = {
+    "b": [{"x": [1, 2, {"deep": None}], "SKU": " s-1 "}, 7], "a": {"": 0, "k.d": True, "n": -2.5}, "code": "", "ref": {"id": 1}, "uuid": False, "items": [{"item_id": i} for i in range(12)], "e": [], "o": {}, "u": "ü\n€",
+}
+
+
+def test_rich_json():
+    lines = documents.flatten(RICH).split("\n")
+    assert lines[:3] == ["b[0].x[0]: 1", "b[0].x[1]: 2", "b[0].x[2].deep: null"] and "a.k.d: True" in lines and "items: ... (12 items)" in lines and lines[-2:] == ["u: ü", "€"]
+    assert documents.scan_ids(RICH) == [("sku", "s-1", "json")] + [("item_id", str(i), "json") for i in range(12)]
+    schema = documents.infer_schema(RICH)["properties"]
+    assert schema["b"]["items"]["properties"]["x"] == {"type": "array", "items": {"type": "integer"}} and schema["e"] == {"type": "array", "items": {"type": "any"}}
+    assert schema["a"]["properties"] == {"": {"type": "integer"}, "k.d": {"type": "boolean"}, "n": {"type": "number"}} and schema["o"] == {"type": "object", "properties": {}}
+
+
+def test_json_bounds():
+    deep = {"id": 1}
+    for _ in range(10):
+        deep = {"n": deep}
+    assert documents.scan_ids(deep) == [] and documents.scan_ids(deep, levels=None) == [("id", "1", "json")]
+    long = [{"id": i} for i in range(150)]
+    assert len(documents.scan_ids(long)) == 100 and len(documents.scan_ids(long, items=None)) == 150
+    assert documents.infer_schema([[[[[[1]]]]]]) == {"type": "array", "items": {"type": "array", "items": {"type": "array", "items": {"type": "array", "items": {"type": "array", "items": {"type": "any"}}}}}}
+    assert documents.flatten("x") == ": x" and documents.flatten([]) == "" and documents.infer_schema(None) == {"type": "null"}
+    # A list that began before the last line is noted after it; one that begins later isn't.
+    many = documents.flatten({"l": [{str(i): i for i in range(30)}] * 12, "m": list(range(20))}).split("\n")
+    assert len(many) == 201 and many[-1] == "l: ... (12 items)"
+
+
+def test_default_embedder(spark):
+    df = spark.createDataFrame([("a b",), ("B a",), (None,), ("...",)], "t string")
+    v = [r["embedding"] for r in documents.embed_with(df, "t", batch=1).collect()]
+    assert v[0] == v[1] and v[2] is None and v[3] is None and abs(sum(x * x for x in v[0]) - 1) < 1e-6
+
+
+def test_probe_parses_no_other_media(spark):
+    df = spark.createDataFrame([(bytearray(b"\xff\xd8\xff{"), "a"), (bytearray(b"[1"), "b"), (bytearray("\u00a0 [1]".encode()), "c"), (bytearray(b"\xe9" * 5), "d"), (None, "e.txt")], "b binary, p string")
+    assert [r["m"] for r in df.select(media.probe_medium("b", "p").alias("m")).collect()] == ["image", "text", "json", "text", "binary"]
+
+
+def test_merged_features_and_slot_checks(spark):
+    r = spark.sql("""select struct('h' hash_value, 'old' extracted_text, array('1') ids, map('a', '1', 'b', '2') extra) base, struct(cast(null as string) hash_value, 'new' extracted_text, array('1', '2') ids, map('b', '3') extra) other""")
+    m = r.select(documents.merge_features(F.col("base"), F.col("other")).alias("m")).first()["m"]
+    assert (m["hash_value"], m["extracted_text"], m["ids"], m["extra"]) == ("h", "new", ["1", "2"], {"a": "1", "b": "3"})
+    s = lambda ref, text, num: F.struct(F.lit(ref).cast("string").alias("ref_entity_id"), F.lit(text).cast("string").alias("value_str"), F.lit(num).cast("double").alias("value_num"))
+    same = [one(spark, slots.values_match(s(*a), s(*b))) for a, b in ((("e", None, None), ("e", "x", None)), ((None, "x", None), (None, "x", 1)), ((None, None, 2), (None, None, 2)), (("e", None, None), ("f", None, None)), ((None, None, None), (None, None, None)))]
+    assert same == [True, True, True, False, False]
+    say = lambda code, kind, type_, strict=False: one(spark, slots.validation_message(F.struct(F.lit(code).cast("string").alias("code"), F.lit(kind).alias("kind"), F.lit(type_).cast("string").alias("type")), strict))
+    assert say("malformed_reference", "passed", None) == "[warning] invalid reference" and say("malformed_reference", "passed", None, True) == "invalid reference"
+    assert say(None, "primitive", "blob") == "[warning] unknown type blob" and say(None, "primitive", "url") is None and say("unrecognized_structure", "passed", None).startswith("[warning] neither")
+    assert one(spark, spacetime.observation_date(F.lit("2024-03-04 23:59:59").cast("timestamp"))) == "2024-03-04"
