@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.hierarchy import unfold
+from kinweave.operators.hierarchy import chain_ends
 from kinweave.storage import Scratch
 
 
@@ -16,7 +16,7 @@ def canonical(records: DataFrame, key: str, pointer: str, scratch: Scratch) -> D
     Chains of any length take a number of joins that grows with its logarithm.
     """
     links = records.select(F.lit("chain").alias("tree"), F.col(key).alias("id"), F.when(F.trim(pointer) != "", F.trim(pointer)).alias("parent"))
-    return unfold(links, scratch, nested=False).select("id", "root", F.col("depth").alias("steps"))
+    return chain_ends(links, scratch).select("id", "root", "steps")
 
 
 def compressed(records: DataFrame, chains: DataFrame, key: str, pointer: str) -> DataFrame:

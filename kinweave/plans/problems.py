@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.operators.hierarchy import type_links, unfold
+from kinweave.operators.hierarchy import descendants, type_links, unfold
 from kinweave.operators.orphans import orphan_report, orphans
 from kinweave.sources.tables import table
 from kinweave.storage import Scratch
@@ -39,10 +39,16 @@ def p7_nested_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return _unfolded(spark, folder, True).select(F.col("tree").alias("link_kind"), F.col("id").alias("type_id"), F.array_join(F.reverse("path"), "/").alias("full_path"), F.col("depth").alias("node_depth"), "subtree_size")
+    return _unfolded(spark, folder, True).select(F.col("tree").alias("link_kind"), F.col("id").alias("type_id"), F.array_join("path", "/").alias("full_path"), F.col("depth").alias("node_depth"), "subtree_size")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_report, p7_found, p7_nested_sets, p7_paths)}
+def p7_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark, "hierarchy")
+    nodes = scratch.save(unfold(type_links(table(spark, folder, "types")), scratch), "nested")
+    return descendants(nodes, nodes).select(F.col("tree").alias("link_kind"), F.col("id").alias("type_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_report, p7_found, p7_nested_sets, p7_paths, p7_descendants)}
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY ingest_seq DESC) AS rn FROM {t} WHERE {k} IS NOT NULL) WHERE rn = 1)"
 _PLAIN = "lower(replace(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '-', ''))"
@@ -77,6 +83,12 @@ ORACLES = {
     "p4_found": _ORPHANS + "SELECT DISTINCT tbl, ref_id, slot_name, target_id, ref_month FROM o",
     "p4_report": _ORPHANS + "SELECT tbl, ref_month, reason, count(*) AS orphans FROM o GROUP BY ALL",
     "p7_found": _TREE + "SELECT tree AS link_kind, id AS type_id, coalesce(root, '') AS root_type_id, coalesce(depth, -1)::INTEGER AS node_depth FROM listed",
+    "p7_nested_sets": _TREE + ", up AS (SELECT tree, id, unnest(string_split(full_path, '/')) AS anc FROM w), sizes AS (SELECT tree, anc, count(*) AS n FROM up GROUP BY ALL),"
+    " places AS (SELECT tree, id, row_number() OVER (PARTITION BY tree, root ORDER BY full_path) - 1 AS preorder FROM w)"
+    " SELECT l.tree AS link_kind, l.id AS type_id, coalesce(l.root, '') AS root_type_id, coalesce(l.depth, -1)::INTEGER AS node_depth, s.n AS subtree_size, p.preorder"
+    " FROM listed l LEFT JOIN sizes s ON s.tree = l.tree AND s.anc = l.id LEFT JOIN places p ON p.tree = l.tree AND p.id = l.id",
+    "p7_descendants": _TREE + ", up AS (SELECT tree, id, depth, unnest(string_split(full_path, '/')) AS anc FROM w)"
+    " SELECT u.tree AS link_kind, u.anc AS type_id, u.id AS descendant_id, (u.depth - a.depth)::INTEGER AS distance FROM up u JOIN w a ON a.tree = u.tree AND a.id = u.anc WHERE u.id <> u.anc",
     "p7_paths": _TREE + ", up AS (SELECT tree, id, unnest(string_split(full_path, '/')) AS anc FROM w), sizes AS (SELECT tree, anc, count(*) AS n FROM up GROUP BY ALL)"
     " SELECT l.tree AS link_kind, l.id AS type_id, l.full_path, coalesce(l.depth, -1)::INTEGER AS node_depth, s.n AS subtree_size FROM listed l LEFT JOIN sizes s ON s.tree = l.tree AND s.anc = l.id",
 }

@@ -44,9 +44,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.load(name, df)
 
-    def load(self, name: str, like: DataFrame | None = None) -> DataFrame:
+    def load(self, name: str, like: DataFrame | None = None, *more: str) -> DataFrame:
+        """A table, or several of one schema read as one."""
         reader = self.spark.read if like is None else self.spark.read.schema(like.schema)
-        return reader.parquet(self.path(name))
+        return reader.parquet(self.path(name), *map(self.path, more))
 
     def drop(self, *names: str) -> None:
         """Frees the disk of tables that nothing reads any more."""

@@ -190,7 +190,7 @@ def test_hierarchy(spark, made, got):
     nodes = unfold(links.union(links.where("id = 'n100'")), Scratch(spark, "t"), paths=True)
     by = {(r["tree"], r["id"]): r for r in nodes.collect()}
     assert len(by) == 150 + 200 + 5
-    assert (by["t", "n149"]["root"], by["t", "n149"]["depth"], len(by["t", "n149"]["path"])) == ("n000", 149, 150)
+    assert (by["t", "n149"]["root"], by["t", "n149"]["depth"], by["t", "n149"]["path"]) == ("n000", 149, [f"n{i:03}" for i in range(150)])
     assert by["t", "n000"]["subtree_size"] == 350 and by["t", "n100"]["subtree_size"] == 50
     pre = sorted(r["preorder"] for (t, _), r in by.items() if t == "t" and r["root"])
     assert pre == list(range(350))
