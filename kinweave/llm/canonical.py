@@ -1,32 +1,36 @@
-"""Freely entered names mapped to the entries of a reference list.
-
-Every form of an entry that ``cost`` accepts for a name is found: the forms are indexed in each
-worker, by the spellings with one letter less that a word shares with any word of one error, and
-by the letters that names and forms written as one have.  Of the entries all of whose words the
-name has, however they are spelt, the one with the fewest errors is its meaning.
+"""Freely entered names mapped to the entries of a reference list, by a prefix-filter set-similarity join.
+
+A name and a form of an entry are sets of the list's words: a name's set holds the words that its
+own words say, misspelt or not, and a form is met if the name's set covers it.  Words are ordered
+by rarity over all names and forms, so a form is found by its rarest word alone; the length and
+the position of that word in the name's set rule out most of the rest, and what is left is
+verified exactly.  Words written as one have no words to be ordered: such texts meet the forms of
+whose words they hold a half, a Levenshtein bound in the JVM rules out most, and the rest is
+verified too.  Of the forms that a name says, the one with the fewest errors is its meaning, then
+the one with the most alike bigrams (Jaccard).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.storage import Scratch
 
 #: Least Jaccard similarity of the bigrams of a name and a form in whose short words or codes there may be errors.
 LEAST = 0.35
-#: Words without a meaning of their own, which an entry's form doesn't need.
 #: Cost of a word that isn't meant, more than all errors of any name.
 NONE = 1e6
+#: Words up to which all orders of a form are tried when it is written as one; longer forms are cut into their words.
+ORDERS = 4
+#: Words without a meaning of their own, which an entry's form doesn't need.
 LINKING = frozenset({"of", "the", "a", "an"})
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -140,7 +144,7 @@ def joined_cost(word: str, parts: tuple[str, ...]) -> float | None:
     """The cost of several words written as one, in any order, with one error for each of them."""
     if any(c.isdigit() for c in word) or abs(len(word) - sum(map(len, parts))) > len(parts):
         return 0.25 if word == "".join(parts) else None
-    if len(parts) > 4:  # with errors anywhere, as below, a whole word could be missing
+    if len(parts) > ORDERS:  # with errors anywhere, as below, a whole word could be missing
         best = min(split_cost(w, parts) for w in (word, singular(word)))
     else:
         best = min(edits(w, "".join(p), len(parts)) for p in permutations(parts) for w in (word, singular(word)))
@@ -184,144 +188,148 @@ def spellings(word: str) -> set[str]:
     return own | {w[:i] + w[i + 1 :] for w in own for i in range(len(w))}
 
 
-class Forms:
-    """All forms of a reference list, (words, type_id), so that those a name may mean are found without comparing it to each."""
-
-    #: Letters are counted in this many classes; letters of one class only let more pairs through to ``cost``.
-    CLASSES = 64
-
-    def __init__(self, rows: list[tuple[str, str]]):
-        types: dict[str, str] = {}
-        for words, type_id in rows:
-            types[words] = min(type_id, types.get(words, type_id))
-        meant = {words: meaning(words.split(" ")) for words in types}
-        self.forms = sorted(types, key=lambda f: (len("".join(meant[f])), f))
-        self.types = [types[f] for f in self.forms]
-        self.meant = [frozenset(meant[f]) for f in self.forms]
-        self.words = sorted(frozenset().union(*self.meant))
-        self.longest = max(map(len, self.words), default=0)
-        self.by_spelling: dict[str, list[str]] = {}
-        for word in self.words:
-            for text in spellings(word):
-                self.by_spelling.setdefault(text, []).append(word)
-        # Each form is listed under that of its words that the fewest forms have.
-        uses = Counter(w for m in self.meant for w in m)
-        self.listed: dict[str, list[int]] = {}
-        for i, m in enumerate(self.meant):
-            self.listed.setdefault(min(m, key=lambda w: (uses[w], w)), []).append(i)
-        self.parts = np.array([len(meant[f]) for f in self.forms], dtype=np.int64)
-        self.lengths = np.array([len("".join(meant[f])) for f in self.forms], dtype=np.int64)
-        self.letters = np.array([self.counted("".join(meant[f])) for f in self.forms], dtype=np.int16).reshape(-1, self.CLASSES)
-        self.seen_words: dict[str, frozenset[str]] = {}
-
-    def counted(self, text: str) -> np.ndarray:
-        return np.bincount([ord(c) % self.CLASSES for c in text], minlength=self.CLASSES).clip(max=1 << 14).astype(np.int16)
-
-    def said(self, word: str) -> frozenset[str]:
-        """The words of forms that a word says."""
-        if len(word) > self.longest + 3:  # one letter more, in the plural
-            return frozenset()
-        if word not in self.seen_words:
-            if len(self.seen_words) >= 1 << 16:
-                self.seen_words.clear()
-            near = {m for text in spellings(word) for m in self.by_spelling.get(text, ())}
-            self.seen_words[word] = frozenset(m for m in near if word_cost(word, m) is not None)
-        return self.seen_words[word]
-
-    def joined(self, text: str) -> list[int]:
-        """The forms that a text can be when written as one with an error for each word: one error changes two counts of letters at most."""
-        most = int(self.parts.max(initial=0))
-        low, high = np.searchsorted(self.lengths, [len(text) - most, len(text) + most + 1])
-        if low == high:
-            return []
-        part, letters = self.parts[low:high], self.letters[low:high]
-        fits = np.zeros(high - low, dtype=bool)
-        for t in {text, singular(text)}:
-            fits |= np.abs(letters - self.counted(t)).sum(axis=1) <= 2 * part
-        return (low + np.flatnonzero(fits & (np.abs(self.lengths[low:high] - len(text)) <= part))).tolist()
-
-    def candidates(self, name: list[str]) -> set[int]:
-        """All forms that ``cost`` may accept for a name."""
-        said = frozenset().union(*map(self.said, set(name)))
-        found = {i for m in said for i in self.listed.get(m, ()) if self.meant[i] <= said}
-        return found.union(*map(self.joined, as_one(name)))
-
-    def best(self, name: list[str]) -> tuple[str, float, float] | None:
-        """type_id, jaccard, errors of the entry that a name means."""
-        options = []
-        for i in self.candidates(name):
-            form = self.forms[i].split(" ")
-            if (errors := cost(name, form)) is not None:
-                alike = jaccard(name, form)
-                options.append((errors, -round(alike, 9), self.types[i], alike))
-        if not options:
-            return None
-        errors, _, type_id, alike = min(options)
-        return type_id, alike, errors
+def pieces(word: str, errors: int) -> set[tuple[int, str]]:
+    """Offsets and texts of which one stands, moved by no more places than there are ``errors``, in every text with that many.
 
+    The word is cut into one part more than there are errors, so one part is whole; a swap across a
+    cut touches two parts, but leaves each of them with the first or last letter of the other.
+    """
+    cuts = [len(word) * i // (errors + 1) for i in range(errors + 2)]
+    out = set()
+    for a, b in zip(cuts, cuts[1:]):
+        firsts = {word[a:b]} | ({word[a - 1] + word[a + 1 : b]} if 0 < a < b else set())
+        out |= {(a, t) for f in firsts for t in ({f, f[:-1] + word[b]} if a < b < len(word) else {f})}
+    return out
 
-def _worded(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and its words as one text; names without any word are left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def form_pieces(meant: list[str]) -> set[tuple[int, str]]:
+    """The pieces of a form written as one, in any order of its words; of long forms, those of each word, anywhere (offset -1)."""
+    if len(meant) > ORDERS:  # each word has one error at most there
+        return {(-1, t) for w in set(meant) for _, t in pieces(w, 1)}
+    return set().union(*(pieces("".join(p), len(meant)) for p in permutations(meant)))
+
+
+def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` turns a DataFrame of a batch into one of ``schema``."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "words": pdf["_text"].map(lambda t: " ".join(words_of(t)))})
+            yield run(pdf)
+
+    return df.mapInPandas(each, schema)
+
 
+def _worded(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and its words as one text; names without any word are left out."""
     rows = df.select(F.col(key).cast("string").alias(key), F.col(text).cast("string").alias("_text"))
-    return rows.mapInPandas(run, f"{key} string, words string").where("words <> ''")
+    return _mapped(rows, lambda pdf: pd.DataFrame({key: pdf[key], "words": pdf["_text"].map(lambda t: " ".join(words_of(t)))}), f"{key} string, words string").where("words <> ''")
+
 
+def _singular(c: Column) -> Column:
+    """``singular`` in the JVM."""
+    n = F.length(c)
+    return F.when((n > 4) & c.endswith("ies"), F.concat(c.substr(F.lit(1), n - 3), F.lit("y"))).when((n > 3) & c.endswith("s") & ~c.endswith("ss"), c.substr(F.lit(1), n - 1)).otherwise(c)
 
-def _ranked(sets: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """key, grams in order of global rarity."""
-    numbered = sets.select(key, F.explode("grams").alias("gram")).join(counts, "gram")
-    return numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g")).select(key, F.transform("g", lambda x: x["gram"]).alias("grams"))
 
+def forms_of(catalog: DataFrame) -> DataFrame:
+    """form, type_id, meant (its different words with a meaning), parts (how many), size (their letters), orders (all ways to write them as one, '' for long forms).
 
-def _prefixes(ranked: DataFrame, key: str, least: float) -> DataFrame:
-    """gram, key, size, at: the grams of each set's prefix; ``at`` counts from 0."""
-    size = F.size("grams")
-    # Two sets of similarity t share a gram within the first n - ceil(t n) + 1 of each.
-    prefix = size - F.ceil(F.lit(least) * size - F.lit(1e-9)).cast("int") + 1
-    return ranked.select(key, size.alias(f"{key}_size"), F.posexplode(F.slice("grams", F.lit(1), prefix)).alias(f"{key}_at", "gram"))
+    Equal forms of several entries are one, of the smallest type_id.
+    """
+    listed = catalog.where("type_id is not null").select(F.col("type_id").cast("string").alias("type_id"), F.explode(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
+    worded = _worded(listed.where("form is not null").select(F.struct("type_id", "form").alias("k")).select(F.to_json("k").alias("k"), "k.form"), "k", "form")
+    once = worded.groupBy(F.col("words").alias("form")).agg(F.min(F.get_json_object("k", "$.type_id")).alias("type_id"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        meant = [meaning(f.split(" ")) for f in pdf["form"]]
+        orders = [sorted({"".join(p) for p in permutations(m)}) if len(m) <= ORDERS else [""] for m in meant]
+        return pd.DataFrame({"form": pdf["form"], "type_id": pdf["type_id"], "meant": [sorted(set(m)) for m in meant], "parts": [len(m) for m in meant], "size": [len("".join(m)) for m in meant], "orders": orders})
+
+    return _mapped(once, run, "form string, type_id string, meant array<string>, parts int, size int, orders array<string>")
+
+
+def _said(words: DataFrame, meant: DataFrame) -> DataFrame:
+    """word, meant: the words of forms that each word says, by spellings that both share."""
+    spelled = lambda df, c: _mapped(df.select(c), lambda pdf: pd.DataFrame([(w, s) for w in pdf[c] for s in spellings(w)], columns=[c, "spelling"]), f"{c} string, spelling string")
+    pairs = spelled(words, "word").join(spelled(meant, "meant"), "spelling").select("word", "meant").distinct()
+    return _mapped(pairs, lambda pdf: pdf[[word_cost(w, m) is not None for w, m in zip(pdf["word"], pdf["meant"])]], "word string, meant string")
+
+
+def covered_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """l, r of all pairs of which the set of ``left`` (l, tokens) holds that of ``right`` (r, tokens).
+
+    A prefix-filter join for an overlap of the whole right set: ordered by global rarity, its
+    prefix is its rarest token.  In the left set no fewer tokens than the right one has must
+    stand from that token on, which bounds the sizes of both too.  Sets are of different tokens.
+    """
+    l, r = left.select("l", F.explode("tokens").alias("token"), F.size("tokens").alias("n")), right.select("r", F.explode("tokens").alias("token"), F.size("tokens").alias("m"))
+    rarity = l.select("token").unionByName(r.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    ordered = l.join(rarity, "token").select("l", "n", F.row_number().over(Window.partitionBy("l").orderBy("uses", "token")).alias("at"), "token")
+    prefix = r.join(rarity, "token").groupBy("r").agg(F.min(F.struct("uses", "token"))["token"].alias("token"), F.max("m").alias("m"))
+    met = ordered.join(prefix, "token").where("n - at + 1 >= m").select("l", "r")
+    full = met.join(left, "l").withColumnRenamed("tokens", "lt").join(right, "r").withColumnRenamed("tokens", "rt")
+    return full.where(F.size(F.array_except("rt", "lt")) == 0).select("l", "r")
 
 
-def similar_sets(left: DataFrame, right: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
-    """l, r, jaccard of all pairs of sets, left (l, grams) and right (r, grams), of similarity ``least`` or more."""
-    both = left.select(F.explode("grams").alias("gram")).unionByName(right.select(F.explode("grams").alias("gram")))
-    counts = both.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    left, right = scratch.save(_ranked(left, counts, "l"), "ranked-l"), scratch.save(_ranked(right, counts, "r"), "ranked-r")
-    fits = (F.col("l_size") >= F.lit(least) * F.col("r_size")) & (F.col("r_size") >= F.lit(least) * F.col("l_size"))
-    needed = F.ceil(F.lit(least / (1 + least)) * (F.col("l_size") + F.col("r_size")) - F.lit(1e-9))
-    # All grams before a shared one may be shared too, and all that follow in the shorter rest.
-    can = F.least("l_at", "r_at") + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
-    met = _prefixes(left, "l", least).join(_prefixes(right, "r", least), "gram").where(fits & (can >= needed))
-    pairs = met.groupBy("l", "r").agg(F.count(F.lit(1)).alias("met"))
-    full = pairs.join(left.select("l", F.col("grams").alias("lg")), "l").join(right.select("r", F.col("grams").alias("rg")), "r")
-    shared = F.size(F.array_intersect("lg", "rg"))
-    return full.withColumn("jaccard", shared / (F.size("lg") + F.size("rg") - shared)).where(F.col("jaccard") >= least).select("l", "r", "jaccard")
+def joined_pairs(texts: DataFrame, forms: DataFrame, scratch: Scratch) -> DataFrame:
+    """text, form of the forms that a text may be when written as one.
+
+    A form written as one, in each order of its words, is cut into one piece more than it may have
+    errors, so a text that says it holds a piece whole and near its place.  What meets so, and is
+    about as long, is bounded by the Levenshtein distance, in which a swap counts two.
+    """
+    cut = _mapped(forms.select("form"), lambda pdf: pd.DataFrame([(f, at, p) for f in pdf["form"] for at, p in form_pieces(meaning(f.split(" ")))], columns=["form", "offset", "piece"]), "form string, offset int, piece string")
+    held = scratch.save(cut.join(forms.select("form", "parts", "size", "orders"), "form"), "pieces")
+    lengths = [r[0] for r in held.select(F.length("piece")).distinct().collect()]  # no more than the longest form has letters
+    longest = held.agg(F.max(F.col("size") + F.col("parts"))).first()[0] or 0
+    each = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.struct((i - 1).cast("int").alias("at"), F.substring(c, i, n).alias("piece")))
+    none = F.array().cast("array<struct<at:int,piece:string>>")
+    cuts = lambda c: F.flatten(F.array(*(F.when(F.length(c) >= n, each(c, n)).otherwise(none) for n in sorted(lengths)))) if lengths else none
+    # Texts are few bytes but many pieces, so they are dealt to all cores; by a hash, as AQE would put the few bytes of a shuffle by text into one task.
+    spark = texts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = texts.where(F.length("text") <= longest).repartition(tasks, F.xxhash64("text")).withColumn("one", _singular(F.col("text")))
+    held_by = own.select("text", "one", F.explode(F.concat(cuts(F.col("text")), F.when(F.col("one") != F.col("text"), cuts(F.col("one"))).otherwise(none))).alias("c")).select("text", "one", "c.at", "c.piece")
+    near = (F.abs(F.length("text") - F.col("size")) <= F.col("parts")) & ((F.col("offset") < 0) | (F.abs(F.col("at") - F.col("offset")) <= F.col("parts")))
+    met = held_by.join(held, "piece").where(near)
+    most = 2 * F.col("parts")
+    like = F.exists("orders", lambda o: (o == "") | (F.levenshtein(F.col("text"), o) <= most) | (F.levenshtein(F.col("one"), o) <= most))
+    return met.where(like).select("text", "form").distinct()
+
+
+def candidate_pairs(names: DataFrame, forms: DataFrame, scratch: Scratch) -> DataFrame:
+    """words, form: every form that ``cost`` accepts for the words of a name, and few others."""
+    word = scratch.save(names.select("words", F.explode(F.array_distinct(F.split("words", " "))).alias("word")), "word")
+    said = scratch.save(_said(word.select("word").distinct(), forms.select(F.explode("meant").alias("meant")).distinct()), "said")
+    sets = word.join(said, "word").groupBy(F.col("words").alias("l")).agg(F.collect_set("meant").alias("tokens"))
+    by_words = covered_sets(scratch.save(sets, "sets"), forms.select(F.col("form").alias("r"), F.col("meant").alias("tokens"))).select(F.col("l").alias("words"), F.col("r").alias("form"))
+    texts = scratch.save(_mapped(names.select("words"), lambda pdf: pd.DataFrame([(w, t) for w in pdf["words"] for t in sorted(as_one(w.split(" "))) if t], columns=["words", "text"]), "words string, text string"), "texts")
+    by_text = texts.join(joined_pairs(texts.select("text").distinct(), forms, scratch), "text").select("words", "form")
+    return by_words.unionByName(by_text).distinct()
 
 
 def map_names(names: DataFrame, catalog: DataFrame, scratch: Scratch) -> DataFrame:
     """name, type_id, jaccard, errors of each different name that an entry of ``catalog`` is meant by.
 
-    ``names``: name; ``catalog``: type_id, canonical_name, aliases, a reference list that every
-    worker holds.  Names without an entry (also NULL, blanks and placeholders) don't come out.  The
-    entry with the fewest errors is kept, then the most similar, then the smallest type_id.
+    ``names``: name; ``catalog``: type_id, canonical_name, aliases.  Names without an entry (also
+    NULL, blanks and placeholders) don't come out.  The entry with the fewest errors is kept, then
+    the most similar, then the smallest type_id.  Neither side is held in one place.
     """
     once = scratch.save(_worded(names.where("name is not null").distinct(), "name", "name"), "names")
-    listed = catalog.where("type_id is not null").select(F.col("type_id").cast("string").alias("type_id"), F.explode(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where("form is not null").distinct()
-    rows = [(" ".join(words), r["type_id"]) for r in listed.collect() if (words := words_of(r["form"]))]
-    shared = names.sparkSession.sparkContext.broadcast(Forms(rows))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(w, *b) for w in pdf["words"] if (b := shared.value.best(w.split(" ")))]
-            yield pd.DataFrame(found, columns=["words", "type_id", "jaccard", "errors"])
-
-    # Spellings of one set of words are compared once, in as many tasks as there are cores: the words alone are few bytes.
-    different = once.select("words").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism, "words")
-    chosen = different.mapInPandas(run, "words string, type_id string, jaccard double, errors double")
-    return once.join(chosen, "words").select("name", "type_id", "jaccard", "errors")
+    forms = scratch.save(forms_of(catalog), "forms")
+    pairs = scratch.save(candidate_pairs(once.select("words").distinct(), forms, scratch), "pairs")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        split = [(w.split(" "), f.split(" ")) for w, f in zip(pdf["words"], pdf["form"])]
+        errors = [cost(w, f) for w, f in split]
+        alike = [None if e is None else jaccard(w, f) for (w, f), e in zip(split, errors)]
+        out = pd.DataFrame({"words": pdf["words"], "form": pdf["form"], "errors": errors, "jaccard": alike}).astype({"errors": "float64", "jaccard": "float64"})
+        return out[out["errors"].notna()]
+
+    checked = _mapped(pairs, run, "words string, form string, errors double, jaccard double")
+    order = F.struct("errors", (-F.round("jaccard", 9)).alias("alike"), "type_id")
+    best = checked.join(forms.select("form", "type_id"), "form").groupBy("words").agg(F.min(F.struct(order.alias("o"), "jaccard")).alias("b"))
+    return once.join(best, "words").select("name", "b.o.type_id", "b.jaccard", "b.o.errors")
 
 
 def assign(candidates: DataFrame, mapped: DataFrame) -> DataFrame:
