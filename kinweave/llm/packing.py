@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from kinweave.storage import Scratch
 
-#: Tokens of a window, and the parts into which the items of one length are dealt for ranking.
-CAPACITY, RANK_PARTS = 2048, 64
+#: Tokens of a window.
+CAPACITY = 2048
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -91,11 +91,11 @@ def packed(sizes: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> Data
     Windows are numbered from 0; a piece that fills one alone has a window of its own, and a
     piece of length 0 takes no room and has the window NULL.  Equal ids are different items.
     """
-    items = scratch.save(pieces(sizes, capacity), "pieces")
+    # Items are ranked within their length by the task that measured them, so that no window holds all items of one length.
+    items = scratch.save(pieces(sizes, capacity).withColumn("part", F.spark_partition_id()), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in items.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     table = scratch.spark.sparkContext.broadcast(places(plan(counts, capacity)))
-    part = F.pmod(F.xxhash64("id", "start"), F.lit(RANK_PARTS))
-    dealt = items.where("length > 0").withColumn("part", part)
+    dealt = items.where("length > 0")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "start")) - 1

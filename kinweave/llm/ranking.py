@@ -1,7 +1,8 @@
 """One ranking from several differently-scaled scores, by distance to ideal points (TOPSIS).
 
-Each criterion is winsorised at two quantiles over all rows, vector-normalised, and weighted so
-that its range counts as one.  An item's closeness is d- / (d+ + d-), its distances to the worst
+Each criterion is winsorised at two quantiles over all rows and divided by the norm of its column.
+Its weight makes the way from its worst to its best value as long as that of any other, times the
+say that it is given.  An item's closeness is d- / (d+ + d-), its weighted distances to the worst
 and to the best point over the criteria that it has; a missing score gives no say.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.storage import Scratch
+
 #: Quantiles beyond which scores are pulled in, and the accuracy of their sketch.
 WINSOR, ACCURACY = (0.01, 0.99), 20_000
 #: Criteria up to which their statistics, a row each, are sent to all tasks; beyond, they are joined by shuffle.
@@ -28,23 +31,39 @@ def long_scores(results: DataFrame) -> DataFrame:
     return scores.select("item", "group_id", "member", "s.criterion", "s.score").where("criterion is not null and score is not null and not isnan(score) and group_id is not null and member is not null")
 
 
-def criteria(scores: DataFrame) -> DataFrame:
+def limits(scores: DataFrame) -> DataFrame:
     """criterion, lo, hi: the limits to which its scores are winsorised."""
-    limits = scores.groupBy("criterion").agg(F.percentile_approx("score", list(WINSOR), ACCURACY).alias("q"), F.min("score").alias("least"), F.max("score").alias("most"))
+    found = scores.groupBy("criterion").agg(F.percentile_approx("score", list(WINSOR), ACCURACY).alias("q"), F.min("score").alias("least"), F.max("score").alias("most"))
     # A criterion that is flat between the quantiles keeps its full range.
     flat = F.col("q")[0] >= F.col("q")[1]
-    return limits.select("criterion", F.when(flat, F.col("least")).otherwise(F.col("q")[0]).alias("lo"), F.when(flat, F.col("most")).otherwise(F.col("q")[1]).alias("hi"))
-
-
-def closeness(scores: DataFrame) -> DataFrame:
-    """group_id, member, closeness of each item; members that have several items take their best one."""
-    stats = criteria(scores)
-    stats = F.broadcast(stats) if stats.count() <= MOST_BROADCAST else stats
-    clipped = scores.join(stats, "criterion").withColumn("x", F.least(F.greatest("score", "lo"), "hi"))
-    # v = x / norm and weight = norm / (hi - lo): the norm of the column cancels out of weight * (v - v_worst).
-    up = F.when(F.col("hi") > F.col("lo"), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.5))
-    each = clipped.select("item", "group_id", "member", (up * up).alias("worst"), ((1 - up) * (1 - up)).alias("best"))
-    items = each.groupBy("item", "group_id", "member").agg(F.sqrt(F.avg("worst")).alias("minus"), F.sqrt(F.avg("best")).alias("plus"))
+    return found.select("criterion", F.when(flat, F.col("least")).otherwise(F.col("q")[0]).alias("lo"), F.when(flat, F.col("most")).otherwise(F.col("q")[1]).alias("hi"))
+
+
+def _joined(scores: DataFrame, stats: DataFrame, few: bool) -> DataFrame:
+    """The scores with the statistics of their criterion, and winsorised."""
+    return scores.join(F.broadcast(stats) if few else stats, "criterion").withColumn("x", F.least(F.greatest("score", "lo"), "hi"))
+
+
+def closeness(scores: DataFrame, scratch: Scratch, say: dict[str, float] | None = None) -> DataFrame:
+    """group_id, member, closeness of each item; members that have several items take their best one.
+
+    ``say``: the say of criteria, 1 for those that aren't listed.  The scores are read once; their
+    statistics are a row for each criterion.  A criterion without any spread puts all items in the middle.
+    """
+    scores = scratch.save(scores, "scores")
+    found = scratch.save(limits(scores), "limits")
+    few = found.count() <= MOST_BROADCAST
+    norms = scratch.save(_joined(scores, found, few).groupBy("criterion").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.first("lo").alias("lo"), F.first("hi").alias("hi")), "norms")
+    given = F.create_map(*(F.lit(x) for kv in (say or {}).items() for x in kv)) if say else None
+    own = F.coalesce(given[F.col("criterion")], F.lit(1.0)).cast("double") if say else F.lit(1.0)
+    v = lambda c: F.col(c) / F.col("norm")
+    # Where the values differ the norm isn't 0 and neither is the way between the ideal points.
+    weight = 1 / (v("hi") - v("lo"))
+    spread = F.col("hi") > F.col("lo")
+    up, down = F.when(spread, weight * (v("x") - v("lo"))).otherwise(0.5), F.when(spread, weight * (v("hi") - v("x"))).otherwise(0.5)
+    each = _joined(scores, norms, few).select("item", "group_id", "member", own.alias("say"), up.alias("up"), down.alias("down"))
+    far = lambda c: F.sqrt(F.sum(F.col("say") * F.col(c) * F.col(c)) / F.sum("say"))
+    items = each.where("say > 0").groupBy("item", "group_id", "member").agg(far("up").alias("minus"), far("down").alias("plus"))
     return items.groupBy("group_id", "member").agg(F.max(F.col("minus") / (F.col("minus") + F.col("plus"))).alias("closeness"))
 
 
@@ -59,5 +78,5 @@ def first_of_each(ranked: DataFrame) -> DataFrame:
 
 def full_ranking(ranked: DataFrame) -> DataFrame:
     """group_id, member, closeness, place."""
-    order = Window.partitionBy("group_id").orderBy(F.col("closeness").desc(), "member")
+    order = Window.partitionBy("group_id").orderBy(F.round("closeness", 12).desc(), "member")
     return ranked.select("group_id", "member", "closeness", F.row_number().over(order).alias("place"))

@@ -228,3 +228,16 @@ def encoded(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """doc_id, n: the number of tokens of every row."""
     return _mapped(documents, doc_id, text, vocabulary, folder, True)
+
+
+def decoded(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+    """doc_id, text of every row of ids; NULL and empty lists give the empty text."""
+    shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary, folder)[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            texts = [decoder.decode(value.as_py() or []) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col(doc_id).cast("long"), F.col(ids).cast("array<int>")).mapInArrow(run, "doc_id long, text string")

@@ -293,13 +293,17 @@ def test_ranking(spark, got):
         result(3, "o2", "b", 0.6, None, ("big", 1e12, False), ("x", None, True)), result(4, "o2", "a", 0.61, float("nan")), result(5, "o3", "z", 0.6, 50.0), result(6, "o3", "y", 0.6, 50.0), result(7, None, "y", 0.6, 50.0), result(8, "o4", "only", None, None),
     ]
     df = spark.createDataFrame(rows, RESULT)
-    best = {r["group_id"]: r["member"] for r in ranking.first_of_each(ranking.closeness(ranking.long_scores(df))).collect()}
+    best = {r["group_id"]: r["member"] for r in ranking.first_of_each(ranking.closeness(ranking.long_scores(df), Scratch(spark, "t"))).collect()}
     assert (best["o1"], best["o2"], best["o3"]) == ("a", "a", "y") and "o4" not in best
     scaled = df.withColumn("image_similarity", F.col("image_similarity") * 1000 - 7).withColumn("text_similarity", F.col("text_similarity") / 9)
-    again = {r["group_id"]: r["member"] for r in ranking.first_of_each(ranking.closeness(ranking.long_scores(scaled))).collect()}
+    again = {r["group_id"]: r["member"] for r in ranking.first_of_each(ranking.closeness(ranking.long_scores(scaled), Scratch(spark, "t"))).collect()}
     assert again == best
-    assert ranking.first_of_each(ranking.closeness(ranking.long_scores(df.limit(0)))).count() == 0
-    assert ranking.full_ranking(ranking.closeness(ranking.long_scores(df))).where("place = 1").count() == len(best)
+    assert ranking.first_of_each(ranking.closeness(ranking.long_scores(df.limit(0)), Scratch(spark, "t"))).count() == 0
+    only = ranking.closeness(ranking.long_scores(df), Scratch(spark, "t"), {"image_similarity": 0.0, "signal big": 0.0})
+    assert {r["group_id"] for r in only.collect()} & {"o1", "o2", "o3"} == {"o1", "o3"}  # by text alone
+    flat = spark.createDataFrame([("i1", "g", "a", "c", 5.0), ("i2", "g", "b", "c", 5.0), ("i3", "g", "z", "n", 0.0)], "item string, group_id string, member string, criterion string, score double")
+    assert got(ranking.closeness(flat, Scratch(spark, "t"))) == [("g", "a", 0.5), ("g", "b", 0.5), ("g", "z", 0.5)]
+    assert ranking.full_ranking(ranking.closeness(ranking.long_scores(df), Scratch(spark, "t"))).where("place = 1").count() == len(best)
 
 
 # 8. Tokens
