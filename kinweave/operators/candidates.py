@@ -1,8 +1,11 @@
-"""Candidate entities of a query vector: the exact k nearest of a pool.
+"""Candidate entities of a query vector: the exact k nearest of a pool, by cells and the triangle inequality.
 
-The pool is dealt into blocks, and each block meets all queries as one matrix product in an Arrow
-batch, keeping k partners of each query; the blocks' partners are merged by a window of k rows.
-A block pair is one task of bounded size, so neither side is broadcast or held whole.
+Each vector of the pool belongs to the nearest of a few pivots.  A query first searches the
+nearest cells that hold k vectors; the distance of its k-th partner there bounds the rest: a cell
+is left out if its pivot is farther than that bound and the cell's radius together, or if the
+plane between its pivot and the query's own is farther than the bound.  Both rules are exact.
+Large cells are dealt into parts, so that no task holds more than BLOCK vectors of the pool; the
+queries of a part stream past it in Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,12 +13,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Partners kept of a query, and the vectors of a block.
-TOP_K, BLOCK = 200, 4096
+from kinweave.storage import Scratch
+
+#: Partners kept of a query; vectors of the pool for each pivot; the most pivots of a group, all of which each task holds; vectors of a part of a cell; queries of a part.
+TOP_K, CELL, MOST_PIVOTS, BLOCK, QUERIES = 200, 2048, 4096, 4096, 1 << 16
+#: Slack of distances, for the rounding of their sums.
+SLACK = 1e-6
 
 
 def live_pool(entities: DataFrame, vector: str, nature: str | None = None) -> DataFrame:
@@ -28,41 +35,164 @@ def excluding(pool: DataFrame, excluded: DataFrame) -> DataFrame:
     return pool.join(excluded.select("entity_id"), "entity_id", "left_anti")
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int = TOP_K, block: int = BLOCK, dim: int | None = None) -> DataFrame:
+def _units(df: DataFrame, key: str, group: str | None, dim: int | None) -> DataFrame:
+    """id, grp, n, unit: the usable vectors as unit directions in binary doubles, with their group and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths[lengths > 0] if dim is None else lengths[lengths == dim]):
+                rows = np.flatnonzero(lengths == n)
+                v = batch.column(2).take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+                length = np.linalg.norm(v, axis=1)
+                good = np.isfinite(length) & (length > 0)
+                unit = v[good] / length[good, None]
+                at = pa.array(rows[good])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(unit), n), pa.int32()), pa.array([u.tobytes() for u in unit], pa.binary())], names=["id", "grp", "n", "unit"])
+
+    rows = df.where("vector is not null").select(F.col(key).cast("string").alias("id"), (F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")).alias("grp"), "vector")
+    return rows.mapInArrow(run, "id string, grp string, n int, unit binary")
+
+
+def _matrix(units: pa.Array) -> np.ndarray:
+    values = units.to_pylist()
+    return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
+
+
+def _far(cos: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2.0 - 2.0 * cos, 0.0))
+
+
+class _Cells:
+    """The pivots of each group and length of vectors, and what is known of their cells; cells are numbered over all of them."""
+
+    def __init__(self, pivots: dict[tuple[str, int], np.ndarray]):
+        self.pivots, self.first, at = pivots, {}, 0
+        for key in sorted(pivots):
+            self.first[key] = at
+            at += len(pivots[key])
+        self.size, self.radius = np.zeros(at, np.int64), np.zeros(at)
+
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], np.ndarray, np.ndarray]]:
+        """The rows of a batch that have a pool, by group and length: key, row numbers, distances to the pivots."""
+        keys = list(zip(batch.column("grp").to_pylist(), batch.column("n").to_pylist()))
+        for key in sorted(set(keys) & set(self.pivots)):
+            rows = np.array([i for i, k in enumerate(keys) if k == key])
+            yield key, rows, _far(_matrix(batch.column("unit").take(pa.array(rows))) @ self.pivots[key].T)
+
+    def near(self, key: tuple[str, int], far: np.ndarray, k: int) -> np.ndarray:
+        """For each row the cells, nearest first, that hold k vectors together."""
+        own = self.size[self.first[key] : self.first[key] + far.shape[1]]
+        order = np.argsort(far, axis=1, kind="stable")
+        before = np.cumsum(own[order], axis=1) - own[order]
+        take = np.zeros(far.shape, bool)
+        np.put_along_axis(take, order, before < k, axis=1)
+        return take & (own > 0)
+
+    def within(self, key: tuple[str, int], far: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The cells that may hold a vector at most ``bound`` away from each row."""
+        at = self.first[key]
+        own, radius, pivots = self.size[at : at + far.shape[1]], self.radius[at : at + far.shape[1]], self.pivots[key]
+        least = far - radius
+        home = far.argmin(axis=1)
+        between = _far(pivots @ pivots.T)[home]
+        plane = np.divide(far**2 - far[np.arange(len(far)), home][:, None] ** 2, 2 * between, out=np.full(far.shape, -1.0), where=between > SLACK)
+        return (np.maximum(least, plane) <= bound[:, None] + SLACK) & (own > 0)
+
+
+def _cells(pool: DataFrame, scratch: Scratch, cell: int, most: int) -> tuple[_Cells, DataFrame]:
+    """The cells of a pool, and the pool with its cell."""
+    pivots = {}
+    for r in pool.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("size")).collect():
+        chosen = pool.where((F.col("grp") == r["grp"]) & (F.col("n") == r["n"])).select("unit").orderBy(F.xxhash64("id"), "id").limit(int(min(most, -(-r["size"] // cell))))
+        pivots[r["grp"], r["n"]] = _matrix(pa.array([bytes(x[0]) for x in chosen.collect()]))
+    cells = _Cells(pivots)
+    shared = pool.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, rows, far in shared.value.of(batch):
+                home, at = far.argmin(axis=1), pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.first[key] + home, pa.int32()), pa.array(far.min(axis=1)), batch.column("id").take(at), batch.column("unit").take(at)], names=["cell", "far", "id", "unit"])
+
+    dealt = scratch.save(pool.mapInArrow(run, "cell int, far double, id string, unit binary"), "cells")
+    for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():  # no more rows than there are pivots
+        cells.size[r["cell"]], cells.radius[r["cell"]] = r["n"], r["far"]
+    return cells, dealt
+
+
+def _searched(visits: DataFrame, dealt: DataFrame, cells: _Cells, k: int) -> DataFrame:
+    """query_id, entity_id, cosine: the k nearest of each cell's part to each query that visits it (cell, id, unit)."""
+    spark = visits.sparkSession
+    asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = spark.createDataFrame([(c, int(-(-cells.size[c] // BLOCK)), int(-(-n // QUERIES))) for c, n in asked.items()], "cell int, parts int, turns int")
+    deal = lambda c, n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(c)
+    each = lambda c, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
+    own = dealt.join(F.broadcast(sizes), "cell").select("cell", deal("part", "parts"), each("turn", "turns"), F.lit(0).alias("asks"), "id", "unit")
+    guests = visits.join(F.broadcast(sizes), "cell").select("cell", each("part", "parts"), deal("turn", "turns"), F.lit(1).alias("asks"), "id", "unit")
+    tasks = max(1, min(2048, sum(int(-(-cells.size[c] // BLOCK)) * int(-(-n // QUERIES)) for c, n in asked.items())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, ids, pool = None, [], None, None
+        for batch in batches:
+            spots = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "turn", "asks")], axis=1)
+            cuts = [0, *(np.flatnonzero((spots[1:] != spots[:-1]).any(axis=1)) + 1), len(spots)] if len(spots) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                rows, spot = batch.slice(a, b - a), tuple(spots[a][:3])
+                if spot != place:
+                    place, held, pool = spot, [], None
+                if spots[a][3] == 0:
+                    held.append(rows)
+                    continue
+                if not held:
+                    continue
+                if pool is None:  # the queries of a part come after all of its vectors
+                    whole = pa.Table.from_batches(held)
+                    ids, pool = whole.column("id").combine_chunks(), _matrix(whole.column("unit"))
+                    order = pa.compute.sort_indices(ids)
+                    ids, pool = ids.take(order), pool[order.to_numpy()]
+                cos = np.round(_matrix(rows.column("unit")) @ pool.T, 12)
+                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                asking = rows.column("id").take(pa.array(np.repeat(np.arange(len(best)), best.shape[1])))
+                yield pa.RecordBatch.from_arrays([asking, ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(cos, best, 1).ravel())], names=["query_id", "entity_id", "cosine"])
+
+    placed = own.unionByName(guests).repartition(tasks, "cell", "part", "turn").sortWithinPartitions("cell", "part", "turn", "asks")
+    return placed.mapInArrow(run, "query_id string, entity_id string, cosine double")
+
+
+def nearest(queries: DataFrame, pool: DataFrame, k: int = TOP_K, dim: int | None = None, group: str | None = None, scratch: Scratch | None = None, cell: int = CELL, most: int = MOST_PIVOTS) -> DataFrame:
     """query_id, entity_id, cosine, rank: the k entities of ``pool`` (entity_id, vector) nearest to each query (query_id, vector).
 
-    The cosine is the plain one; ties go to the smaller id.  Vectors of another length than ``dim``
-    (if given, else than the partner's), with NULLs, or zero match nothing.
+    With ``group``, a column of both sides, only within a group.  The cosine is the plain one; ties
+    go to the smaller id.  Vectors of another length than ``dim`` (if given, else than the
+    partner's), with NULLs, or zero match nothing.  Query ids are unique.
     """
-    size = lambda df: max(1, -(-df.count() // block))
-    queries, pool = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where("vector is not null"), pool.select(F.col("entity_id").cast("string").alias("entity_id"), "vector").where("vector is not null")
-    nq, np_ = size(queries), size(pool)
-    cell = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
-    both = queries.select(cell("query_id", nq).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))).alias("pb"), F.lit(True).alias("is_query"), F.col("query_id").alias("id"), "vector").unionByName(pool.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), cell("entity_id", np_).cast("int").alias("pb"), F.lit(False).alias("is_query"), F.col("entity_id").alias("id"), "vector"))
-
-    def matrix(part: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = [(i, np.asarray(v, dtype=np.float64)) for i, v in zip(part["id"], part["vector"]) if len(v) == n]
-        if not rows:
-            return np.empty(0, dtype=object), np.empty((0, n))
-        ids, v = np.array([i for i, _ in rows], dtype=object), np.array([v for _, v in rows])
-        length = np.linalg.norm(v, axis=1)
-        good = np.isfinite(length) & (length > 0)
-        return ids[good], v[good] / length[good, None]
-
-    def top(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n in ([dim] if dim else sorted({len(v) for v in part["vector"]})):
-            qi, q = matrix(part[part["is_query"]], n)
-            ei, e = matrix(part[~part["is_query"]], n)
-            if not len(qi) or not len(ei):
-                continue
-            order = np.argsort(ei, kind="stable")
-            ei, e = ei[order], e[order]
-            cos = np.round(q @ e.T, 12)
-            best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            out += zip(np.repeat(qi, best.shape[1]), ei[best].ravel(), np.take_along_axis(cos, best, 1).ravel())
-        return pd.DataFrame(out, columns=["query_id", "entity_id", "cosine"])
-
-    cells = both.groupBy("qb", "pb").applyInPandas(top, "query_id string, entity_id string, cosine double")
-    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "entity_id")
-    return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    scratch = scratch or Scratch(queries.sparkSession, "candidates")
+    asked = scratch.save(_units(queries, "query_id", group, dim), "queries")
+    cells, dealt = _cells(scratch.save(_units(pool, "entity_id", group, dim), "pool"), scratch, cell, most)
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def visits(bounded: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                for key, rows, far in known.of(batch):
+                    take = known.near(key, far, k)
+                    if bounded:  # without k partners so far every cell is due
+                        kth = batch.column("kth").take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(float)
+                        take = known.within(key, far, np.where(np.isnan(kth), np.inf, _far(kth))) & ~take
+                    row, to = np.nonzero(take)
+                    at = pa.array(rows[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(known.first[key] + to, pa.int32()), batch.column("id").take(at), batch.column("unit").take(at)], names=["cell", "id", "unit"])
+
+        return run
+
+    shape, order = "cell int, id string, unit binary", Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "entity_id")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = _searched(scratch.save(asked.mapInArrow(visits(False), shape), "visits"), dealt, cells, k)
+    if max(map(len, cells.pivots.values()), default=0) < 2:  # one cell a group: all of it was searched
+        return ranked(first)
+    first = scratch.save(ranked(first), "first")
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("cosine").alias("kth"))
+    more = _searched(scratch.save(asked.join(kth, "id", "left").mapInArrow(visits(True), shape), "more"), dealt, cells, k)
+    return ranked(first.drop("rank").unionByName(more))

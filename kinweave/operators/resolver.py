@@ -1,4 +1,4 @@
-"""Observations resolved to entities: identifiers first, then similarity, then reconciliation.
+"""Observations resolved to entities: identifiers first, then similarity, events, reconciliation, prototypes and slot references.
 
 All observations of a batch meet the world as it was when the batch began.  Entities made for
 identifiers are the same whatever the order, as their ids follow from the keys; entities made for
@@ -9,19 +9,73 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.names import derived_id
-from kinweave.functions.spacetime import haversine_km, location_decay, time_decay
+from kinweave.functions.names import derived_id, name_match
+from kinweave.functions.spacetime import haversine_km, location_decay, observation_date, observation_time, time_decay
+from kinweave.operators import events, prototypes, slotrefs
 from kinweave.operators.candidates import TOP_K, live_pool, nearest
-from kinweave.operators.identifiers import KEY, resolve_ids
+from kinweave.operators.identifiers import KEY, lookup
 from kinweave.operators.reconcile import audit, canonicalised, deduplicated, reconcile
-from kinweave.operators.scoring import Thresholds, combined_score, decide, links_of, unmatched, with_margin
+from kinweave.operators.scoring import Thresholds, combined_score, decide, facet_agreement, links_of, unmatched, with_margin
+from kinweave.storage import Scratch
 
-#: The prototype that a seed of each nature is compared with.
+#: The prototype that a seed of each nature is compared with; the name of the seed that the engine makes for what an image shows.
 PROTOTYPES = {"individual": "prototype_image_embedding", "class": "prototype_text_embedding", "group": "prototype_text_embedding", "event": "prototype_text_embedding"}
+SUBJECT = "photo_subject"
+#: Places of the observation itself and of aligned events among an observation's seeds.
+WHOLE, ALIGNED = -1, 1 << 20
+SLOT = "struct<kind:string,value_str:string,value_num:double,unit:string,ref_entity_id:string,ref_type:string,ref_name:string,ref_nature:string,items:array<string>>"
 _LINK = ("observation_id", "seed_index", "entity_id", "posterior", "status", "role", "flags")
+_SEED = ("observation_id", "seed_index")
+
+
+def slot(kind: str, **fields: Column) -> Column:
+    """A stored slot struct; fields that aren't given are NULL."""
+    types = [f.split(":") for f in SLOT.removeprefix("struct<").removesuffix(">").split(",")]
+    return F.struct(*((F.lit(kind) if name == "kind" else fields.get(name, F.lit(None)).cast(type_)).alias(name) for name, type_ in types))
+
+
+def seed_slots(slots: Column) -> Column:
+    """A seed's slots (an array of name, value, is_reference, ref_nature) as a map of stored structs; the last of a name counts."""
+    stored = lambda s: F.when(s["is_reference"], slot("reference", ref_name=s["value"], ref_nature=s["ref_nature"])).otherwise(slot("string", value_str=s["value"], value_num=s["value"].try_cast("double")))
+    named = F.filter(F.coalesce(slots, F.array()), lambda s: s["name"].isNotNull())
+    return F.map_from_entries(F.transform(named, lambda s: F.struct(s["name"].alias("key"), stored(s).alias("value"))))
+
+
+def _text(slots: Column, *keys: str) -> Column:
+    """The first filled value of some slots, as text."""
+    one = lambda k: F.coalesce(F.when(F.trim(slots[k]["value_str"]) != "", slots[k]["value_str"]), slots[k]["value_num"].cast("string"))
+    return F.coalesce(*map(one, keys))
+
+
+def observation_facts(observations: DataFrame) -> DataFrame:
+    """observation_id, medium, facets, lat, lon, at, o_date, o_place, o_species, out of the facets (a map of texts)."""
+    f = F.col("facets")
+    pick = lambda *keys: F.coalesce(*(F.when(F.trim(f[k]) != "", f[k]) for k in keys))
+    lat, lon = pick("latitude", "gps_latitude").try_cast("double"), pick("longitude", "gps_longitude").try_cast("double")
+    both = lat.isNotNull() & lon.isNotNull()
+    at = observation_time(f["timestamp"], f["datetime"], f["capture_time"])
+    species = F.map_values(F.map_filter(F.coalesce(f, F.create_map().cast("map<string,string>")), lambda k, v: k.startswith("species_") & ~k.endswith("_presence") & (v != "")))
+    return observations.select("observation_id", "medium", "facets", F.when(both, lat).alias("lat"), F.when(both, lon).alias("lon"), at.alias("at"), observation_date(at).alias("o_date"), pick("location_name", "location").alias("o_place"), species.alias("o_species"))
+
+
+def observation_vectors(signatures: DataFrame) -> DataFrame:
+    """observation_id and its image_embedding, text_embedding, clip_text_embedding: of several signatures the first that has one."""
+    names = ("image_embedding", "text_embedding", "clip_text_embedding")
+    given = [c for c in names if c in signatures.columns]
+    firsts = signatures.groupBy("observation_id").agg(*(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("signature_id"))).alias(c) for c in given))
+    return firsts.select("observation_id", *(F.col(c) if c in given else F.lit(None).cast("array<float>").alias(c) for c in names))
+
+
+def entity_facts(entities: DataFrame) -> DataFrame:
+    """Adds e_lat, e_lon, e_at, e_date, e_place, e_species, out of the slots."""
+    s = F.col("slots")
+    return entities.withColumns({
+        "e_lat": _text(s, "latitude", "gps_latitude").try_cast("double"), "e_lon": _text(s, "longitude", "gps_longitude").try_cast("double"), "e_at": observation_time(_text(s, "timestamp"), _text(s, "datetime"), _text(s, "last_seen")),
+        "e_date": _text(s, "event_date"), "e_place": _text(s, "location_name"), "e_species": F.coalesce(s["species"]["items"], F.split(s["species"]["value_str"], ","), F.array().cast("array<string>")),
+    })
 
 
 def query_vector(nature: Column) -> Column:
@@ -33,53 +87,162 @@ def _rescaled(cosine: Column) -> Column:
     return (cosine + 1) / 2
 
 
-def _signals(nature: str) -> dict[str, Column]:
-    place = F.when(F.col("lat").isNotNull() & F.col("e_lat").isNotNull(), location_decay(haversine_km("lat", "lon", "e_lat", "e_lon")))
+def _signals(nature: str, names: bool, unwrapped: bool) -> dict[str, Column]:
+    place = F.when(F.col("lat").isNotNull() & F.col("e_lat").isNotNull() & F.col("e_lon").isNotNull(), location_decay(haversine_km("lat", "lon", "e_lat", "e_lon")))
     time = F.when(F.col("at").isNotNull() & F.col("e_at").isNotNull(), time_decay("at", "e_at"))
-    return {"individual": {"image": F.col("similarity"), "location": place, "timestamp": time}, "class": {"text": F.col("similarity")}, "group": {"location": place}, "event": {"timestamp": time, "location": place}}[nature]
-
-
-def similarity_links(seeds: DataFrame, entities: DataFrame, thresholds: Thresholds = Thresholds(), k: int = TOP_K, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    # A bare facet never equals a wrapped slot; ``unwrapped`` compares it with what the slot holds.
+    same = (lambda facet, s: F.coalesce(s["ref_entity_id"], s["value_str"], s["value_num"].cast("string")) == facet) if unwrapped else (lambda facet, s: F.lit(False))
+    called = {"name": name_match("suggested_name", "name")} if names else {}
+    return {
+        "individual": {"image": F.col("similarity"), "location": place, "timestamp": time},
+        "class": {"text": F.col("similarity"), "facet": facet_agreement(F.col("facets"), F.col("slots"), same), **called},
+        "group": {"location": place},
+        "event": {"timestamp": time, "location": place},
+    }[nature]
+
+
+def similarity_links(seeds: DataFrame, entities: DataFrame, scratch: Scratch, thresholds: Thresholds = Thresholds(), k: int = TOP_K, dim: int | None = None, names: bool = False, unwrapped: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links of seeds by similarity, and the decision on each seed that had candidates.
 
-    ``seeds``: observation_id, seed_index, entity_nature, vector, lat, lon, at.  ``entities``: as
-    stored, with e_lat, e_lon and e_at of each.  Vectors of another length than ``dim`` match none.
+    ``seeds``: observation_id, seed_index, entity_nature, vector, lat, lon, at, facets, suggested_name.
+    ``entities``: as stored, with entity_facts.  Seeds of all natures are searched and scored
+    together.  Vectors of another length than ``dim`` match none.  ``names`` lets suggested names
+    count, ``unwrapped`` compares facets with the values of slots.
     """
-    decided, links = [], []
-    key = ("observation_id", "seed_index")
-    proto = derived_id("entity", F.lit("proto"), *key)
-    facts = entities.select("entity_id", "e_lat", "e_lon", "e_at")
-    for nature, prototype in PROTOTYPES.items():
-        own = seeds.where(F.col("entity_nature") == nature).withColumn("query_id", F.concat_ws("|", *key))
-        found = nearest(own.select("query_id", "vector"), live_pool(entities, prototype, nature), k, dim=dim)
-        scored = found.join(own, "query_id").join(facts, "entity_id").withColumn("similarity", _rescaled(F.col("cosine"))).withColumn("_s", combined_score(nature, _signals(nature)))
-        rows = scored.select(*key, "entity_id", "rank", F.lit(nature).alias("nature"), "_s.score", "_s.coverage", F.exists("_s.flags", lambda f: f.isin("sparse_signals", "single_signal")).alias("sparse"), (F.col("similarity") if nature == "individual" else F.lit(None).cast("double")).alias("image"))
-        best = decide(with_margin(rows, *key), thresholds)
-        decided.append(best.select(*key, "entity_id", "nature", "score", "coverage", "margin", "pool_size", "decision", "flags"))
-        links.append(links_of(best, proto, *key))
-    every = reduce(DataFrame.unionByName, decided)
+    proto = derived_id("entity", F.lit("proto"), *_SEED)
+    own = seeds.withColumn("query_id", F.concat_ws("|", *_SEED))
+    pools = [live_pool(entities, prototype, nature) for nature, prototype in PROTOTYPES.items()]
+    found = nearest(own.select("query_id", "entity_nature", "vector"), reduce(DataFrame.unionByName, pools), k, dim, "entity_nature", scratch)
+    facts = entities.select("entity_id", "e_lat", "e_lon", "e_at", "slots", "name")
+    scored = found.join(own.select("query_id", *_SEED, "entity_nature", "lat", "lon", "at", "facets", "suggested_name"), "query_id").join(facts, "entity_id").withColumn("similarity", _rescaled(F.col("cosine")))
+    score = reduce(lambda rest, n: F.when(F.col("entity_nature") == n, combined_score(n, _signals(n, names, unwrapped))).otherwise(rest), PROTOTYPES, F.lit(None))
+    individual = F.col("entity_nature") == "individual"
+    signals = _signals("individual", names, unwrapped)
+    has = lambda *flags: F.exists("_s.flags", lambda f: f.isin(*flags))
+    located, timed = F.col("entity_nature") != "class", F.col("entity_nature").isin("individual", "event")
+    rows = scored.withColumn("_s", score).select(
+        *_SEED, "entity_id", "rank", F.col("entity_nature").alias("nature"), "_s.score", "_s.coverage", has("sparse_signals", "single_signal").alias("sparse"), has("low_evidence").alias("low_evidence"),
+        F.when(individual, F.col("similarity")).alias("image"), F.when(located, signals["location"]).alias("location"), F.when(timed, signals["timestamp"]).alias("timestamp"),
+    )
+    best = scratch.save(decide(with_margin(rows, *_SEED), thresholds), "decided")
+    decided = best.select(*_SEED, "entity_id", "nature", "score", "coverage", "margin", "pool_size", "decision", "flags")
     without = seeds.where("vector is null")
-    links.append(unmatched(without.select(*key), without.select(*key).limit(0), proto, "no_embedding_available", *key))
-    links.append(unmatched(seeds.where("vector is not null").select(*key), every, proto, "no_candidates_found", *key))
-    return reduce(DataFrame.unionByName, links), every
+    none = [unmatched(without.select(*_SEED), without.select(*_SEED).limit(0), proto, "no_embedding_available", *_SEED), unmatched(seeds.where("vector is not null").select(*_SEED), decided, proto, "no_candidates_found", *_SEED)]
+    return reduce(DataFrame.unionByName, none, links_of(best, proto, *_SEED)), decided
 
 
-def resolve(seeds: DataFrame, ids: DataFrame, entities: DataFrame, bindings: DataFrame, canonical: DataFrame, thresholds: Thresholds = Thresholds(), k: int = TOP_K) -> dict[str, DataFrame]:
-    """links, bindings, entities, audit: what a batch adds to the world.
+def identifier_links(ids: DataFrame, seeds: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links by identifier, the entities to make for unknown ones (with their key), and the facets of seeds that met a known one.
 
-    ``ids``: observation_id, seed_index (NULL for the observation itself) and the resolved key; a
-    seed with an identifier is not compared.  ``canonical``: id, root (see canonical.canonical).
+    ``ids``: observation_id, seed_index (NULL for the observation itself), the resolved key,
+    strength.  An entity is made once for a key: for an observation as an individual named by the
+    key, else by the first seed that brings it, with the seed's nature, name and slots.
+    """
+    own = seeds.select(*_SEED, "entity_nature", "suggested_name", seed_slots(F.col("slots")).alias("slots"))
+    rows = ids.withColumn("seed_index", F.coalesce("seed_index", F.lit(WHOLE))).join(own, list(_SEED), "left")
+    found, whole, made = lookup(rows, bindings), F.col("seed_index") == WHOLE, derived_id("entity", *KEY)
+    missing = F.col("entity_id").isNull()
+    flags = F.when(whole, F.array_compact(F.array(F.lit("from_observation_det_id"), F.when(missing, "entity_created")))).otherwise(F.array().cast("array<string>"))
+    links = found.select(*_SEED, F.coalesce("entity_id", made).alias("entity_id"), F.lit(1.0).alias("posterior"), F.lit("hard").alias("status"), F.lit("subject").alias("role"), flags.alias("flags"))
+    what = F.struct(F.when(whole, "individual").otherwise(F.col("entity_nature")).alias("entity_nature"), F.when(whole, F.concat_ws(":", "id_type", "id_value")).otherwise(F.col("suggested_name")).alias("name"), "slots")
+    first = F.struct((~whole).alias("late"), F.col("observation_id"), F.col("seed_index"))
+    strong = F.max((F.col("strength") == "strong").cast("int")) if "strength" in ids.columns else F.max(F.lit(1))
+    new = found.where(missing).groupBy(*KEY).agg(F.min_by(what, first).alias("w"), strong.alias("s")).select(*KEY, made.alias("entity_id"), "w.*", F.when(F.col("s") == 1, 1.0).otherwise(0.8).alias("binding_confidence"))
+    facets = found.where(~missing & ~whole).select(*_SEED, "entity_id", F.explode("slots").alias("facet", "v")).select(*_SEED, "entity_id", "facet", F.coalesce("v.ref_name", "v.value_str", F.lit("")).alias("value"))
+    return links, new, facets
+
+
+def proto_entities(made: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The entities made for seeds without a similar one (observation_id, seed_index, entity_id), with what their observation gives them.
+
+    Individuals get its place and time unless their slots have them.  Only the seed of what an
+    image shows gets the image as its prototype, and only other natures than individuals the text.
+    """
+    rows = made.join(seeds, list(_SEED)).withColumn("_slots", seed_slots(F.col("slots")))
+    one, has = F.col("entity_nature") == "individual", lambda k: F.array_contains(F.map_keys("_slots"), k)
+    placed, timed = one & F.col("lat").isNotNull() & ~has("latitude"), one & F.col("at").isNotNull() & ~has("datetime")
+    number = lambda c: slot("number", value_num=F.col(c))
+    added = F.array(F.when(placed, F.struct(F.lit("latitude").alias("key"), number("lat").alias("value"))), F.when(placed, F.struct(F.lit("longitude").alias("key"), number("lon").alias("value"))), F.when(timed, F.struct(F.lit("datetime").alias("key"), slot("datetime", value_str=F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("value"))))
+    slots = F.map_concat("_slots", F.map_from_entries(F.filter(added, lambda e: e.isNotNull())))
+    image = F.when(one & (F.col("entity_type") == SUBJECT), F.col("image_embedding"))
+    text = F.when(~one, F.col("text_embedding"))
+    return rows.select("entity_id", "entity_nature", F.col("suggested_name").alias("name"), slots.alias("slots"), F.lit("proto").alias("status"), F.col("confidence").cast("double").alias("confidence"), image.alias("prototype_image_embedding"), text.alias("prototype_text_embedding"), F.coalesce(image, text).isNotNull().cast("int").alias("prototype_count"))
+
+
+def prototype_updates(links: DataFrame, vectors: DataFrame, entities: DataFrame, order: DataFrame, least: float) -> DataFrame:
+    """entity_id, prototype_image_embedding, prototype_text_embedding, prototype_count of the entities that ``links`` change.
+
+    Hard links and soft ones of ``least`` or more count, in the ``order`` of their observations
+    (observation_id, seq); the image only where prototypes.takes_image.  Both vectors go by one count
+    of the updates so far; what an entity lacks is set by the first vector.
+    """
+    sure = prototypes.eligible(links, least).select("observation_id", "entity_id", "weight")
+    known = entities.select("entity_id", "slots", "name", "prototype_image_embedding", "prototype_text_embedding", F.coalesce("prototype_count", F.lit(0)).alias("stored"))
+    rows = sure.join(vectors, "observation_id").join(order, "observation_id").join(known, "entity_id")
+    rows = rows.withColumn("image", F.when(prototypes.takes_image(F.col("slots"), F.col("name")), F.col("image_embedding"))).withColumn("text", F.col("text_embedding")).where("image is not null or text is not null")
+    before = F.row_number().over(Window.partitionBy("entity_id").orderBy("seq", "observation_id"))
+    narrow = rows.select("entity_id", "observation_id", "seq", "stored").withColumn("nth", before).withColumn("before", F.col("stored") + F.col("nth") - 1).drop("seq", "stored")
+    rows = rows.join(narrow, ["entity_id", "observation_id"])
+    fold = lambda vector, current: prototypes.updated(rows.where(F.col(vector).isNotNull()).select("entity_id", F.col(current).alias("current"), F.col("stored").alias("prototype_count"), F.col("nth").alias("seq"), "before", F.col(vector).alias("vector"), "weight")).select("entity_id", F.col("prototype").alias(vector))
+    counts = rows.groupBy("entity_id").agg((F.max("stored") + F.count(F.lit(1))).cast("int").alias("prototype_count"))
+    out = counts.join(fold("image", "prototype_image_embedding"), "entity_id", "left").join(fold("text", "prototype_text_embedding"), "entity_id", "left").join(known.drop("slots", "name", "stored"), "entity_id")
+    return out.select("entity_id", *(F.coalesce(F.col(v), F.col(c).cast("array<double>")).alias(c) for v, c in (("image", "prototype_image_embedding"), ("text", "prototype_text_embedding"))), "prototype_count")
+
+
+def with_references(entities: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Entities whose symbolic slots hold the ids that slotrefs.resolve found for them."""
+    targets = resolved.where("target_id is not null").groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("slot_name", "target_id"))).alias("_t"))
+    filled = F.transform_values("slots", lambda k, s: F.when(F.col("_t")[k].isNotNull(), s.withField("ref_entity_id", F.col("_t")[k])).otherwise(s))
+    return entities.join(targets, "entity_id", "left").withColumn("slots", F.when(F.col("_t").isNull(), F.col("slots")).otherwise(filled)).drop("_t")
+
+
+def resolve(observations: DataFrame, signatures: DataFrame, seeds: DataFrame, ids: DataFrame, entities: DataFrame, bindings: DataFrame, canonical: DataFrame, scratch: Scratch, thresholds: Thresholds = Thresholds(), k: int = TOP_K, dim: int | None = None, names: bool = False, unwrapped: bool = False) -> dict[str, DataFrame]:
+    """links, entities, bindings, prototypes, participants, audit, references, decisions, flags: what a batch adds to the world.
+
+    ``observations``: observation_id, medium, facets, seq (the order of arrival).  ``signatures``:
+    signature_id, observation_id and vectors.  ``seeds``: observation_id, seed_index,
+    entity_nature, entity_type, suggested_name, slots, confidence.  ``ids``: see identifier_links; a seed
+    with an identifier is not compared.  ``entities``, ``bindings``: the world; ``canonical``: id,
+    root (see canonical.canonical).
     """
-    by_id, new = resolve_ids(ids.withColumn("_owner", F.struct("observation_id", F.coalesce("seed_index", F.lit(-1)).alias("seed_index"))), bindings, "_owner")
-    by_id = by_id.select("_owner.observation_id", "_owner.seed_index", "entity_id", "posterior", "status", "role", "flags")
-    free = seeds.join(ids.where("seed_index is not null").select("observation_id", "seed_index").distinct(), ["observation_id", "seed_index"], "left_anti")
-    similar, decided = similarity_links(free, entities, thresholds, k)
-    links = by_id.select(*_LINK).unionByName(similar.select(*_LINK))
-    final = canonicalised(deduplicated(reconcile(links)), canonical)
-    made = similar.where(F.array_contains("flags", "proto_alternative") | F.array_contains("flags", "no_match_found") | F.array_contains("flags", "no_candidates_found") | F.array_contains("flags", "no_embedding_available"))
-    natures = seeds.select("observation_id", "seed_index", "entity_nature")
-    fresh = made.join(natures, ["observation_id", "seed_index"]).groupBy("entity_id").agg(F.min("entity_nature").alias("entity_nature")).withColumn("name", F.lit(None).cast("string")).unionByName(new.select("entity_id", F.lit("individual").alias("entity_nature"), "name")).withColumn("status", F.lit("proto"))
-    return {"links": final, "bindings": new.select(*KEY, "entity_id", "confidence"), "entities": fresh, "audit": audit(final, thresholds.link), "decisions": decided}
+    facts, vectors = scratch.save(observation_facts(observations), "facts"), scratch.save(observation_vectors(signatures), "vectors")
+    world = scratch.save(entity_facts(entities), "world")
+    full = seeds.join(facts.select("observation_id", "facets", "lat", "lon", "at"), "observation_id").join(vectors, "observation_id", "left").withColumn("vector", query_vector(F.col("entity_nature")))
+    full = scratch.save(full, "seeds")
+    by_id, new, facets = identifier_links(ids, seeds, bindings)
+    free = full.join(ids.where("seed_index is not null").select(*_SEED).distinct(), list(_SEED), "left_anti")
+    similar, decided = similarity_links(free, world, scratch, thresholds, k, dim, names, unwrapped)
+    live = world.where(F.coalesce(F.trim("canonical_entity_id"), F.lit("")).eqNullSafe("") & (F.coalesce("status", F.lit("")) != "deprecated") & (F.col("entity_nature") == "event"))
+    images = facts.where("medium = 'image'").select("observation_id", "o_date", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "o_place", "o_species")
+    aligned = events.align(images, live.select("entity_id", "e_date", "e_lat", "e_lon", "e_place", "e_species")).withColumn("seed_index", F.lit(ALIGNED))
+    pending = scratch.save(reduce(DataFrame.unionByName, [x.select(*_LINK) for x in (by_id, similar, aligned)]), "pending")
+    judged = scratch.save(reconcile(pending, facets), "judged")
+    final = scratch.save(canonicalised(deduplicated(judged).drop("conflicts"), canonical), "links")
+
+    proto = pending.where(F.col("entity_id") == derived_id("entity", F.lit("proto"), *_SEED)).select(*_SEED, "entity_id")
+    none = F.lit(None).cast("array<float>")
+    keyed = new.select("entity_id", "entity_nature", "name", "slots", F.lit("proto").alias("status"), F.lit(1.0).alias("confidence"), none.alias("prototype_image_embedding"), none.alias("prototype_text_embedding"), F.lit(0).alias("prototype_count"))
+    made = scratch.save(proto_entities(proto, full).unionByName(keyed), "made")
+    natures = world.select("entity_id", "entity_nature", "name").unionByName(made.select("entity_id", "entity_nature", "name"))
+    references = scratch.save(slotrefs.resolve(slotrefs.symbolic(made), bindings, natures, canonical), "references")
+    referred = slotrefs.created(references)
+    state = world.select("entity_id", "slots", "name", "prototype_image_embedding", "prototype_text_embedding", "prototype_count").unionByName(made.select("entity_id", "slots", "name", "prototype_image_embedding", "prototype_text_embedding", "prototype_count"))
+    named = references.where("outcome = 'created'").select(F.lit("ref").alias("id_type"), F.col("ref_value").alias("id_value"), F.col("namespace").alias("id_namespace"), F.col("target_id").alias("entity_id"), F.lit(slotrefs.MADE_CONFIDENCE).alias("confidence")).distinct()
+    counted = lambda df, flag: df.groupBy("observation_id").agg(F.concat(F.lit(f"{flag}:"), F.count(F.lit(1)).cast("string")).alias("flag"))
+    clashes = judged.where("conflicts > 0").select("observation_id", "entity_id", F.explode(F.sequence(F.lit(1), "conflicts"))).distinct()
+    owners = proto.select("observation_id", "entity_id")
+    flags = [counted(by_id.where(F.col("seed_index") == WHOLE), "obs_det_ids_resolved"), counted(aligned, "event_aligned"), counted(clashes, "multi_seed_conflicts"), counted(references.where("target_id is null").join(owners, "entity_id"), "slot_refs_unresolved")]
+    return {
+        "links": final,
+        "entities": with_references(made, references).unionByName(referred.select(F.col("target_id").alias("entity_id"), "entity_nature", "name", F.lit(None).cast(f"map<string,{SLOT}>").alias("slots"), F.lit("proto").alias("status"), "confidence", none.alias("prototype_image_embedding"), none.alias("prototype_text_embedding"), F.lit(0).alias("prototype_count"))),
+        "bindings": new.select(*KEY, "entity_id", F.col("binding_confidence").alias("confidence")).unionByName(named),
+        "prototypes": prototype_updates(final, vectors, state, observations.select("observation_id", "seq"), thresholds.link),
+        "participants": events.participants(final, natures),
+        "audit": audit(final, thresholds.link),
+        "references": references,
+        "decisions": decided,
+        "flags": reduce(DataFrame.unionByName, flags).groupBy("observation_id").agg(F.sort_array(F.collect_list("flag")).alias("flags")),
+    }
 
 
 def suggest_merges(records: DataFrame, key: str, vector: str, least: float = 0.9, limit: int = 10) -> DataFrame:

@@ -349,13 +349,75 @@ def resolve_images(spark: SparkSession, folder: str) -> DataFrame:
     """The whole similarity path: pool, exact nearest prototypes, score, margin, decision, for every image signature."""
     s = current_rows(table(spark, folder, "signatures"), "signature_id", "image_embedding")
     none = F.lit(None)
-    seeds = s.select(F.col("signature_id").alias("observation_id"), F.lit(0).alias("seed_index"), F.lit("individual").alias("entity_nature"), F.col("image_embedding").alias("vector"), none.cast("double").alias("lat"), none.cast("double").alias("lon"), none.cast("timestamp").alias("at"))
-    e = current_rows(table(spark, folder, "entities"), "entity_id", "entity_nature", "canonical_entity_id", "status", "prototype_image_embedding", "prototype_text_embedding")
-    e = e.withColumns({"e_lat": none.cast("double"), "e_lon": none.cast("double"), "e_at": none.cast("timestamp")})
-    _, decided = resolver.similarity_links(seeds, e, dim=64)
+    seeds = s.select(F.col("signature_id").alias("observation_id"), F.lit(0).alias("seed_index"), F.lit("individual").alias("entity_nature"), F.col("image_embedding").alias("vector"), none.cast("double").alias("lat"), none.cast("double").alias("lon"), none.cast("timestamp").alias("at"), none.cast("map<string,string>").alias("facets"), none.cast("string").alias("suggested_name"))
+    e = current_rows(table(spark, folder, "entities"), "entity_id", "entity_nature", "name", "slots", "canonical_entity_id", "status", "prototype_image_embedding", "prototype_text_embedding")
+    _, decided = resolver.similarity_links(seeds, resolver.entity_facts(e), Scratch(spark, "resolve"), dim=64)
     return decided.select(F.col("observation_id").alias("signature_id"), "entity_id", _r("score"), "decision")
 
 
+def _batch(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every observation as one batch: images seed what they show, texts a class; places follow from the order of arrival; contents are identifiers, the first half of which is bound."""
+    o = current_rows(table(spark, folder, "observations"), "observation_id", "ingest_seq", "medium", "blob_id", "created_at")
+    text = lambda c: c.cast("string")
+    facets = F.map_filter(F.create_map(F.lit("latitude"), text((F.col("ingest_seq") % 500) / 100), F.lit("longitude"), text((F.col("ingest_seq") % 497) / 100 + 35), F.lit("datetime"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), lambda k, v: v.isNotNull())
+    observations = o.select("observation_id", "medium", F.col("ingest_seq").alias("seq"), facets.alias("facets"), "blob_id")
+    slots = F.array().cast("array<struct<name:string,value:string,is_reference:boolean,ref_nature:string>>")
+    seeds = observations.where("medium in ('image', 'text')").select("observation_id", F.lit(0).alias("seed_index"), F.when(F.col("medium") == "image", "individual").otherwise("class").alias("entity_nature"), F.when(F.col("medium") == "image", resolver.SUBJECT).alias("entity_type"), F.lit(None).cast("string").alias("suggested_name"), slots.alias("slots"), F.lit(0.6).alias("confidence"))
+    ids = observations.where("blob_id is not null").select("observation_id", F.lit(None).cast("int").alias("seed_index"), F.lit("blob").alias("id_type"), F.col("blob_id").alias("id_value"), F.lit("source:test").alias("id_namespace"))
+    e = current_rows(table(spark, folder, "entities"), "entity_id", "entity_nature", "name", "slots", "canonical_entity_id", "status", "prototype_image_embedding", "prototype_text_embedding", "prototype_count")
+    start = lambda c: F.substring(c, 1, 2)
+    firsts = e.groupBy(start("entity_id").alias("h")).agg(F.min("entity_id").alias("entity_id"))
+    bindings = ids.select("id_type", "id_value", "id_namespace").distinct().where(start("id_value") < "80").withColumn("h", start("id_value")).join(firsts, "h").drop("h")
+    s = current_rows(table(spark, folder, "signatures"), "signature_id", "observation_id", "image_embedding", "text_embedding")
+    scratch = Scratch(spark, "batch")
+    chains = canonical.canonical(e.select("entity_id", "canonical_entity_id"), "entity_id", "canonical_entity_id", scratch)
+    return resolver.resolve(observations, s, seeds, ids, e, bindings, chains, scratch, dim=64)
+
+
+_GOOD = lambda v: f"{v} IS NOT NULL AND " + _USABLE.format(v=v)
+_POOL = lambda nature, v: f"SELECT entity_id, '{nature}' AS nature, {v}::DOUBLE[] AS v, coalesce(cardinality(slots), 0) > 0 AS has_slots, slots['latitude'].value_num AS lat, slots['longitude'].value_num AS lon FROM c WHERE entity_nature = '{nature}' AND coalesce(trim(canonical_entity_id), '') = '' AND coalesce(status, '') <> 'deprecated' AND {_GOOD(v)}"
+_KM = "2 * 6371.0 * asin(sqrt(least(1, pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2))))"
+_BATCH = _ENTITY_ROOTS.replace(" WHERE parent IS NULL UNION ALL SELECT n.id, w.root", " WHERE parent IS NULL UNION ALL SELECT n.id, w.root").rstrip() + f""",
+o AS (SELECT observation_id, medium, blob_id, strftime(created_at, '%Y-%m-%d') AS d, (ingest_seq % 500) / 100.0::DOUBLE AS lat, (ingest_seq % 497) / 100.0::DOUBLE + 35 AS lon FROM {_current_sql("observations", "observation_id")}),
+sg AS (SELECT observation_id, arg_min(image_embedding, signature_id) FILTER (image_embedding IS NOT NULL) AS iv, arg_min(text_embedding, signature_id) FILTER (text_embedding IS NOT NULL) AS tv FROM {_current_sql("signatures", "signature_id")} GROUP BY 1),
+seed AS (SELECT o.observation_id, o.lat, o.lon, CASE medium WHEN 'image' THEN 'individual' ELSE 'class' END AS nature, CASE medium WHEN 'image' THEN iv ELSE tv END AS v FROM o LEFT JOIN sg ON sg.observation_id = o.observation_id WHERE medium IN ('image', 'text')),
+pool AS ({_POOL("individual", "prototype_image_embedding")} UNION ALL {_POOL("class", "prototype_text_embedding")}),
+p AS (SELECT s.observation_id, s.nature, e.entity_id, e.has_slots, round(list_cosine_similarity(s.v::DOUBLE[], e.v), 12) AS cos, CASE WHEN e.lat IS NOT NULL AND e.lon IS NOT NULL THEN exp(-({_KM.format(a="s", b="e")}) / 10) END AS place
+  FROM (SELECT * FROM seed WHERE {_GOOD("v")}) s JOIN pool e ON e.nature = s.nature QUALIFY row_number() OVER (PARTITION BY s.observation_id ORDER BY cos DESC, e.entity_id) <= 200),
+sc AS (SELECT *, (cos + 1) / 2 AS sim, row_number() OVER (PARTITION BY observation_id ORDER BY cos DESC, entity_id) AS rk FROM p),
+sd AS (SELECT *, CASE nature WHEN 'individual' THEN CASE WHEN place IS NULL THEN sim ELSE (sim * 0.35::DOUBLE + place * 0.15::DOUBLE) / 0.5 END ELSE CASE WHEN has_slots THEN sim * 0.4::DOUBLE / 0.7::DOUBLE ELSE sim END END AS score, count(*) OVER (PARTITION BY observation_id) AS n FROM sc),
+best AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY score DESC, rk, entity_id) = 1),
+dec AS (SELECT s.observation_id, substr(sha256('entity|proto|' || s.observation_id || '|0'), 1, 32) AS proto, b.entity_id, b.score, CASE WHEN b.score >= 0.85 AND (b.nature <> 'individual' OR (b.sim >= 0.75 AND NOT (b.n = 1 AND b.score < 0.95))) THEN 'link' WHEN b.score >= 0.6 THEN 'candidate' ELSE 'new' END AS decision FROM seed s LEFT JOIN best b ON b.observation_id = s.observation_id),
+bind AS (SELECT left(entity_id, 2) AS h, min(entity_id) AS entity_id FROM c GROUP BY 1),
+ev AS (SELECT entity_id, slots['event_date'].value_str AS d, slots['latitude'].value_num AS lat, slots['longitude'].value_num AS lon FROM c WHERE entity_nature = 'event' AND coalesce(trim(canonical_entity_id), '') = '' AND coalesce(status, '') <> 'deprecated'),
+al AS (SELECT o.observation_id, e.entity_id, CASE WHEN o.d = e.d THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN {_KM.format(a="o", b="e")} < 20 THEN 0.3::DOUBLE * (1 - {_KM.format(a="o", b="e")} / 20) ELSE 0 END AS s FROM o JOIN ev e ON o.d IS NULL OR o.d = e.d WHERE o.medium = 'image'),
+l AS (SELECT o.observation_id, coalesce(b.entity_id, substr(sha256('entity|blob|' || blob_id || '|source:test'), 1, 32)) AS entity_id, -1 AS seed_index, 1.0::DOUBLE AS posterior, 'hard' AS status, 'subject' AS role FROM o LEFT JOIN bind b ON b.h = left(blob_id, 2) AND b.h < '80' WHERE blob_id IS NOT NULL
+  UNION ALL SELECT observation_id, CASE WHEN decision = 'new' THEN proto ELSE entity_id END, 0, CASE WHEN decision = 'new' THEN 0.8 ELSE score END, CASE decision WHEN 'candidate' THEN 'candidate' ELSE 'soft' END, 'subject' FROM dec
+  UNION ALL SELECT observation_id, proto, 0, 1 - score, 'candidate', 'subject' FROM dec WHERE decision = 'candidate'
+  UNION ALL SELECT observation_id, entity_id, 1048576, s, CASE WHEN s >= 0.5 THEN 'soft' ELSE 'candidate' END, 'context' FROM al WHERE s >= 0.3),
+a AS (SELECT *, count(*) OVER g > 1 AS several, max((role = 'subject')::INT) OVER g + max((role = 'context')::INT) OVER g = 2 AS both_roles FROM l WINDOW g AS (PARTITION BY observation_id, entity_id)),
+f AS (SELECT *, posterior * CASE WHEN several AND both_roles THEN 0.5 ELSE 1 END AS q FROM a),
+once AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY observation_id, entity_id ORDER BY q DESC, seed_index) = 1),
+moved AS (SELECT observation_id, coalesce(h.root, once.entity_id) AS entity_id, q, status, role, seed_index FROM once LEFT JOIN chains h ON h.id = once.entity_id),
+final AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY observation_id, entity_id ORDER BY q DESC, seed_index) = 1)
+"""
+
+
+@query(_BATCH + "SELECT observation_id, entity_id, round(q, 6) AS posterior, status, role FROM final")
+def resolve_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The composed resolver over all observations: identifiers, similarity, events, reconciliation, merge chains."""
+    return _batch(spark, folder)["links"].select("observation_id", "entity_id", _r("posterior"), "status", "role")
+
+
+@query(_BATCH + ", u AS (SELECT final.entity_id, count(*) AS n FROM final JOIN c ON c.entity_id = final.entity_id JOIN sg ON sg.observation_id = final.observation_id WHERE (final.status = 'hard' OR (final.status = 'soft' AND q >= 0.85))"
+    " AND (tv IS NOT NULL OR (iv IS NOT NULL AND (coalesce(c.name, '') = '' OR list_has_any(map_keys(c.slots), ['latitude', 'gps_latitude'])))) GROUP BY 1)"
+    " SELECT u.entity_id, (coalesce(c.prototype_count, 0) + n)::INTEGER AS prototype_count FROM u JOIN c ON c.entity_id = u.entity_id")
+def resolve_prototypes(spark: SparkSession, folder: str) -> DataFrame:
+    """The entities of the world whose prototypes the batch changes, and how many updates they have had then."""
+    known = current_rows(table(spark, folder, "entities"), "entity_id")
+    return _batch(spark, folder)["prototypes"].join(known, "entity_id", "left_semi").select("entity_id", "prototype_count")
+
+
 # Prototypes
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,8 +65,26 @@ def test_nearest(made, got):
     v = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0]), ("d", [0.0, 0.0]), ("e", [1.0]), ("f", None), ("g", [1.0, 0.0])]
     pool = made(v, "entity_id string, vector array<double>")
     q = made([("q", [2.0, 0.0]), ("z", [0.0, 0.0]), ("n", None)], "query_id string, vector array<double>")
-    assert got(candidates.nearest(q, pool, 3, block=2).select("query_id", "entity_id", "rank")) == [("q", "a", 1), ("q", "b", 3), ("q", "g", 2)]
-    assert candidates.nearest(q.limit(0), pool, 3).count() == 0
+    assert got(candidates.nearest(q, pool, 3, cell=2).select("query_id", "entity_id", "rank")) == [("q", "a", 1), ("q", "b", 3), ("q", "g", 2)]
+    assert candidates.nearest(q.limit(0), pool, 3).count() == 0 and candidates.nearest(q, pool.limit(0), 3).count() == 0
+
+
+def test_nearest_is_exact(spark, got, monkeypatch):
+    """Many small cells, parts and turns, groups, copies and two lengths of vectors against brute force."""
+    monkeypatch.setattr(candidates, "BLOCK", 16)
+    monkeypatch.setattr(candidates, "QUERIES", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8))
+    v = np.concatenate([centres[rng.integers(0, 6, 240)] + 0.2 * rng.normal(size=(240, 8)), np.repeat(centres[:1], 40, axis=0)])
+    rows = [(f"e{i:03}", "xy"[i % 2], v[i][: 8 - 3 * (i % 7 == 0)].tolist()) for i in range(len(v))]
+    pool = spark.createDataFrame(rows, "entity_id string, g string, vector array<double>")
+    queries = spark.createDataFrame(rows[::3], "query_id string, g string, vector array<double>")
+    want = set()
+    for q, g, a in rows[::3]:
+        near = sorted((-round(float(np.dot(np.array(a) / np.linalg.norm(a), np.array(b) / np.linalg.norm(b))), 12), e) for e, h, b in rows if h == g and len(a) == len(b))
+        want |= {(q, e, r) for r, (_, e) in enumerate(near[:7], 1)}
+    found = candidates.nearest(queries, pool, 7, group="g", cell=10)
+    assert {tuple(r) for r in found.select("query_id", "entity_id", "rank").collect()} == want
 
 
 def test_live_pool(made, got):
@@ -317,6 +336,9 @@ def test_world(spark, made, got, tmp_path):
     assert [r["evolution_id"] for r in world.history(changes, "a").collect()] == ["2", "1"]
     shown = world.show("entity", "a", {"entities": made([("a",)], "entity_id string"), "links": links})
     assert shown["entities"].count() == 1 and shown["links"].count() == 2
+    dashed = "6f9619ff-8b86-d011-b42d-00c04fc964ff"
+    shown = world.show("entity", dashed, {"entities": made([(dashed,)], "entity_id string"), "entity_evolutions": made([(dashed,), ("x' or '1' = '1",)], "entity_id string")})
+    assert shown["entity_evolutions"].count() == 1
 
 
 def test_stream_equals_batch(spark, made, got, tmp_path):
