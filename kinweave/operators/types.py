@@ -69,14 +69,88 @@ def merge(types: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def split(types: DataFrame, specs: DataFrame, keep_source: bool) -> DataFrame:
-    """The types made by splitting: specs (source_type_id, name), one row for each; names that exist are left out.
+    """The types made by splitting: specs (source_type_id, name[, parent_type_id]), one row for each.
 
-    Kept sources become the parents; else the new types have the source's parent.
+    A source that is unknown or inactive, or of whose names one is blank, given twice or taken,
+    isn't split at all.  Kept sources become the parents; else the new types have the given parent or the source's.
     """
-    taken = types.select(F.col("canonical_name").alias("name"))
-    new = specs.where("trim(name) <> ''").join(taken, "name", "left_anti").join(types.select(F.col("type_id").alias("source_type_id"), "parent_type_id", "created_via"), "source_type_id")
-    parent = F.col("source_type_id") if keep_source else F.col("parent_type_id")
-    return new.select(derived_id("type", "name").alias("type_id"), F.col("name").alias("canonical_name"), parent.alias("parent_type_id"), F.lit("provisional").alias("status"), F.lit(0).alias("evidence_count"), "created_via")
+    named = specs if "parent_type_id" in specs.columns else specs.withColumn("parent_type_id", F.lit(None).cast("string"))
+    named = named.select("source_type_id", "name", F.col("parent_type_id").alias("given"))
+    taken = types.select(F.col("canonical_name").alias("name"), F.lit(True).alias("taken")).distinct()
+    again = named.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("again"))
+    bad = named.join(taken, "name", "left").join(again, "name", "left").where("name is null or trim(name) = '' or taken or again").select("source_type_id").distinct()
+    sources = types.where(~F.coalesce(F.col("status"), F.lit("")).isin(*INACTIVE)).select(F.col("type_id").alias("source_type_id"), "parent_type_id", "created_via")
+    new = named.join(bad, "source_type_id", "left_anti").join(sources, "source_type_id")
+    parent = F.col("source_type_id") if keep_source else F.coalesce("given", "parent_type_id")
+    return new.select(derived_id("type", "name").alias("type_id"), F.col("name").alias("canonical_name"), parent.alias("parent_type_id"), F.lit("provisional").alias("status"), F.lit(0).alias("evidence_count"), "created_via", "source_type_id")
+
+
+def after_split(types: DataFrame, specs: DataFrame, keep_source: bool) -> DataFrame:
+    """All types after splitting: the new ones, and the sources deprecated unless they are kept."""
+    new = split(types, specs, keep_source)
+    gone = new.select(F.col("source_type_id").alias("type_id"), F.lit(not keep_source).alias("_gone")).distinct()
+    rows = types.join(gone, "type_id", "left").withColumn("status", F.when(F.col("_gone"), "deprecated").otherwise(F.col("status"))).drop("_gone")
+    return rows.unionByName(new.drop("source_type_id"), allowMissingColumns=True)
+
+
+def redistributed(observations: DataFrame, types: DataFrame, assignment: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """Observations and types after a split type's observations move: assignment (observation_id, type_id).
+
+    Only observations of the source move, only to active types; each target's evidence grows by those it gets.
+    """
+    active = types.where(~F.coalesce(F.col("status"), F.lit("")).isin(*INACTIVE)).select(F.col("type_id").alias("_to"))
+    goals = assignment.select("observation_id", F.col("type_id").alias("_to")).join(active, "_to", "left_semi").groupBy("observation_id").agg(F.min("_to").alias("_to"))
+    rows = observations.join(goals, "observation_id", "left").withColumn("_to", F.when(F.col("stable_type_id") == source, F.col("_to")))
+    moved = rows.where("_to is not null").groupBy(F.col("_to").alias("type_id")).agg(F.count_distinct("observation_id").alias("_more"))
+    after = types.join(moved, "type_id", "left").withColumn("evidence_count", (F.col("evidence_count") + F.coalesce("_more", F.lit(0))).cast("int")).drop("_more")
+    return rows.withColumn("stable_type_id", F.coalesce("_to", "stable_type_id")).drop("_to"), after
+
+
+def deprecated(types: DataFrame, specs: DataFrame) -> DataFrame:
+    """The types after deprecating those of specs (type_id, replacement_type_id or NULL; each type once), with ``moves_to`` where what refers to one moves.
+
+    A type that is unknown or inactive, or whose replacement is itself, unknown, inactive or about
+    to be deprecated too, stays as it is.  The replacement gets the evidence.
+    """
+    active = types.where(~F.coalesce(F.col("status"), F.lit("")).isin(*INACTIVE)).select("type_id")
+    goals = active.join(specs.select("type_id"), "type_id", "left_anti").select(F.col("type_id").alias("replacement_type_id"), F.lit(True).alias("_ok"))
+    good = specs.select("type_id", "replacement_type_id").join(active, "type_id", "left_semi").join(goals, "replacement_type_id", "left").where("replacement_type_id is null or _ok")
+    more = good.join(types.select("type_id", "evidence_count"), "type_id").where("replacement_type_id is not null").groupBy(F.col("replacement_type_id").alias("type_id")).agg(F.sum("evidence_count").alias("_more"))
+    rows = types.join(good.select("type_id", F.col("replacement_type_id").alias("moves_to"), F.lit(True).alias("_gone")), "type_id", "left").join(more, "type_id", "left")
+    return rows.withColumn("status", F.when(F.col("_gone"), "deprecated").otherwise(F.col("status"))).withColumn("evidence_count", (F.col("evidence_count") + F.coalesce("_more", F.lit(0))).cast("int")).drop("_gone", "_more")
+
+
+def recorded(candidates: DataFrame, proposals: DataFrame, name: str, order: str) -> DataFrame:
+    """The candidates after proposals: the best live one of a normal name gets their number as evidence, a new name makes a candidate.
+
+    Where several live candidates have one name the most evident counts, as in best_candidates.
+    """
+    new = candidates_of(proposals, name, order)
+    best = best_candidates(candidates, new).select("normalized_name", F.col("candidate_id").alias("_best"))
+    met = new.join(best, "normalized_name", "left")
+    more = met.where("_best is not null").select(F.col("_best").alias("candidate_id"), F.col("evidence_count").alias("_more"))
+    old = candidates.join(more, "candidate_id", "left").withColumn("evidence_count", (F.col("evidence_count") + F.coalesce("_more", F.lit(0))).cast("int")).drop("_more")
+    fresh = met.where("_best is null").select("candidate_id", "proposed_name", "normalized_name", F.lit("proposed").alias("status"), F.col("evidence_count").cast("int").alias("evidence_count"))
+    return old.unionByName(fresh, allowMissingColumns=True)
+
+
+def types_named(types: DataFrame, names: DataFrame, created_via: str = "llm_proposed") -> DataFrame:
+    """name, type_id, is_new for each different name: the type called exactly so, else one to make (get or create)."""
+    own = types.groupBy(F.col("canonical_name").alias("name")).agg(F.min("type_id").alias("known"))
+    rows = names.select("name").where("trim(name) <> ''").distinct().join(own, "name", "left")
+    return rows.select("name", F.coalesce("known", derived_id("type", "name")).alias("type_id"), F.col("known").isNull().alias("is_new"), F.lit(created_via).alias("created_via"))
+
+
+def backfilled(observations: DataFrame, promoted: DataFrame) -> DataFrame:
+    """Observations without a stable type get that of their candidate (candidate_id, type_id)."""
+    own = promoted.select(F.col("candidate_id").alias("candidate_type_id"), F.col("type_id").alias("_t"))
+    return observations.join(own, "candidate_type_id", "left").withColumn("stable_type_id", F.coalesce("stable_type_id", "_t")).drop("_t")
+
+
+def evolution(kind: str, source: str, target: str | None, reason: str, details: str) -> Column:
+    """A row of type_evolution, as a struct; its id follows from what it says and when."""
+    now = F.current_timestamp()
+    return F.struct(derived_id("type_evolution", F.lit(kind), F.lit(source), F.lit(target or ""), now).alias("evolution_id"), F.lit(kind).alias("kind"), F.lit(source).alias("source_type_id"), F.lit(target).cast("string").alias("target_type_id"), F.lit(reason).alias("reason"), F.lit(details).alias("details"), now.alias("created_at"))
 
 
 def repointed(rows: DataFrame, column: str, moves: DataFrame) -> DataFrame:

@@ -36,6 +36,23 @@ def init_world(spark: SparkSession, folder: str, reset: bool = False) -> list[st
     return written
 
 
+def replace(spark: SparkSession, folder: str, name: str, df: DataFrame) -> None:
+    """Puts a table in the place of the one that it may have been made from: written beside it, then renamed."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    new, old = f"{folder}/{name}.parquet.new", f"{folder}/{name}.parquet"
+    df.write.mode("overwrite").parquet(new)
+    files = hadoop.Path(old).getFileSystem(conf)
+    files.delete(hadoop.Path(old), True)
+    if not files.rename(hadoop.Path(new), hadoop.Path(old)):
+        raise OSError(f"{new} can't be renamed to {old}")
+    spark.catalog.refreshByPath(old)
+
+
+def fetch(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is among ``wanted`` (a column of that name)."""
+    return rows.join(wanted.select(key), key, "left_semi")
+
+
 def counts(df: DataFrame, column: str) -> DataFrame:
     """The rows of each value and, with the value NULL and is_total 1, of all: one pass."""
     return df.rollup(column).agg(F.grouping(column).alias("is_total"), F.count(F.lit(1)).alias("n"))

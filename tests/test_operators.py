@@ -303,14 +303,37 @@ def test_type_merge(made):
 
 def test_type_split_and_alias(made, got):
     t = made([("a", "cat", ["kitty"], "root", "stable", None, 10, "via"), ("b", "dog", [], None, "deprecated", None, 1, "via")], TYPE)
-    specs = made([("a", "lion"), ("a", "dog"), ("a", " ")], "source_type_id string, name string")
-    assert got(types.split(t, specs, True).select("canonical_name", "parent_type_id")) == [("lion", "a")]
-    assert got(types.split(t, specs, False).select("canonical_name", "parent_type_id")) == [("lion", "root")]
+    spec = lambda *names, of="a": made([(of, n) for n in names], "source_type_id string, name string")
+    assert got(types.split(t, spec("lion", "tiger"), True).select("canonical_name", "parent_type_id")) == [("lion", "a"), ("tiger", "a")]
+    assert got(types.split(t, spec("lion"), False).select("canonical_name", "parent_type_id")) == [("lion", "root")]
+    assert [types.split(t, x, False).count() for x in (spec("lion", "dog"), spec("lion", " "), spec("lion", "lion"), spec("lion", of="b"), spec("lion", of="q"))] == [0] * 5
+    assert dict(got(types.after_split(t, spec("lion"), False).select("canonical_name", "status"))) == {"cat": "deprecated", "dog": "deprecated", "lion": "provisional"}
+    assert dict(got(types.after_split(t, spec("lion"), True).select("canonical_name", "status")))["cat"] == "stable"
     adds = made([("a", "KITTY "), ("a", "Dog"), ("a", "puma"), ("b", "x"), ("q", "x")], "type_id string, alias string")
     assert got(types.alias_added(t, adds).select("alias", "outcome")) == [("Dog", "conflict"), ("KITTY ", "exists"), ("puma", "added"), ("x", "inactive"), ("x", "not_found")]
     assert got(types.find_by_name(t, made([(" Kitty",), ("CAT",), ("dog",), (None,)], "name string"))) == [(" Kitty", "a", "alias"), ("CAT", "a", "name")]
 
 
+def test_deprecated(made, got):
+    t = made([("a", "cat", None, None, "stable", None, 10, "x"), ("b", "dog", None, None, "stable", None, 5, "x"), ("c", "old", None, None, "deprecated", None, 1, "x"), ("d", "cow", None, None, None, None, 2, "x")], TYPE)
+    run = lambda *specs: {r["type_id"]: (r["status"], r["evidence_count"], r["moves_to"]) for r in types.deprecated(t, made(list(specs), "type_id string, replacement_type_id string")).collect()}
+    assert run(("b", "a")) == {"a": ("stable", 15, None), "b": ("deprecated", 5, "a"), "c": ("deprecated", 1, None), "d": (None, 2, None)}
+    assert run(("d", None))["d"] == ("deprecated", 2, None)
+    assert run(("a", "c"), ("b", "b"), ("c", "a"), ("x", "a"), ("d", "no")) == {"a": ("stable", 10, None), "b": ("stable", 5, None), "c": ("deprecated", 1, None), "d": (None, 2, None)}
+
+
+def test_redistributed_recorded_backfilled(made, got):
+    t = made([("a", "cat", None, None, "deprecated", None, 10, "x"), ("n", "lion", None, "a", "provisional", None, 0, "x")], TYPE)
+    obs = made([("o1", "a", "c1"), ("o2", "a", None), ("o3", "z", "c1"), ("o4", None, "c1"), ("o5", None, None)], "observation_id string, stable_type_id string, candidate_type_id string")
+    rows, after = types.redistributed(obs, t, made([("o1", "n"), ("o3", "n"), ("o2", "a"), ("o9", "n")], "observation_id string, type_id string"), "a")
+    assert [r[1] for r in got(rows.select("observation_id", "stable_type_id"))] == ["n", "a", "z", None, None] and dict(got(after.select("type_id", "evidence_count"))) == {"a": 10, "n": 1}
+    assert [r[1] for r in got(types.backfilled(obs, made([("c1", "n")], "candidate_id string, type_id string")).select("observation_id", "stable_type_id"))] == ["a", "a", "z", "n", None]
+    known = made([("k1", "Cat", "cat", "proposed", 2), ("k2", "cat!", "cat", "promoted", 3), ("k3", "Dog", "dog", "rejected", 9)], "candidate_id string, proposed_name string, normalized_name string, status string, evidence_count int")
+    out = types.recorded(known, made([("CAT", 1), ("cat ", 2), ("dog", 3), ("Dog", 4), ("--", 5), (None, 6)], "n string, o int"), "n", "o")
+    assert sorted((r["normalized_name"], r["proposed_name"], r["evidence_count"]) for r in out.collect()) == [("cat", "Cat", 2), ("cat", "cat!", 5), ("dog", "Dog", 9), ("dog", "dog", 2)]
+    assert [(r["name"], r["is_new"]) for r in types.types_named(t, made([("lion",), ("lion",), ("puma",), (" ",), (None,)], "name string")).orderBy("name").collect()] == [("lion", False), ("puma", True)]
+
+
 def test_repointed(made, got):
     rows = made([("o1", "a"), ("o2", None), ("o3", "c")], "o string, t string")
     assert got(types.repointed(rows, "t", made([("a", "b")], "old string, new string")).select("o", "t")) == [("o1", "b"), ("o2", None), ("o3", "c")]

@@ -177,3 +177,26 @@ def test_cli(spark, tmp_path):
     for command in (("show-world",), ("show-links",), ("show-links", "--multi"), ("search", "x"), ("type-history", "x"), ("review-candidates",), ("review-types", "--status", "stable")):
         assert all(df.count() == 0 for df in run(*command).values())
     assert list(run("show-entity", "ab")) == ["not_found"]
+
+
+def test_type_commands(spark, made, tmp_path):
+    folder = str(tmp_path)
+    cli.world.init_world(spark, folder)
+    row = lambda i, name, n: (i, name, [], None, None, "stable", None, n, "x", None)
+    cli.world.replace(spark, folder, "types", made([row("a", "cat", 3), row("b", "puss", 2), row("c", "dog", 1)], cli.world.SCHEMAS["types"]))
+    observed = made([("o1", "b"), ("o2", "c")], "observation_id string, stable_type_id string")
+    cli.world.replace(spark, folder, "observations", spark.read.parquet(f"{folder}/observations.parquet").unionByName(observed, allowMissingColumns=True))
+    run = lambda *words: {k: df.collect() for k, df in cli.run(spark, cli.parser().parse_args([folder, *words])).items()}
+    now = lambda: {r["type_id"]: r for r in spark.read.parquet(f"{folder}/types.parquet").collect()}
+    assert len(run("type-merge", "puss", "cat", "--dry-run")["types"]) == 2 and now()["b"]["status"] == "stable"
+    assert len(run("type-merge", "puss", "cat")["types"]) == 2 and (now()["b"]["merged_into_type_id"], now()["a"]["aliases"], now()["a"]["evidence_count"]) == ("a", ["puss"], 5)
+    assert run("type-alias", "cat", "Kitty")["types"][0]["aliases"] == ["puss", "Kitty"] and run("type-alias", "cat", "kitty")["types"] == []
+    run("type-alias", "cat", "PUSS", "--remove")
+    assert now()["a"]["aliases"] == ["Kitty"] and "not_found" in run("type-alias", "cow", "x")
+    run("type-split", "cat", "lion", "tiger")
+    run("type-deprecate", "dog", "--replacement", "lion")
+    status = {r["canonical_name"]: r["status"] for r in now().values()}
+    assert status == {"cat": "deprecated", "puss": "merged_into", "dog": "deprecated", "lion": "provisional", "tiger": "provisional"}
+    lion = next(i for i, r in now().items() if r["canonical_name"] == "lion")
+    assert {r["observation_id"]: r["stable_type_id"] for r in spark.read.parquet(f"{folder}/observations.parquet").collect()} == {"o1": "a", "o2": lion}
+    assert [r["kind"] for r in run("type-history", "a")["type_evolution"]] == ["split", "alias", "alias", "merge"]
