@@ -636,8 +636,9 @@ def merge_migration(spark: SparkSession, folder: str) -> DataFrame:
     return types.repointed(table(spark, folder, "observations"), "stable_type_id", moves).groupBy("stable_type_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH t AS {_TYPE}, x AS (SELECT type_id, canonical_name || s AS name, parent_type_id, created_via FROM t, (VALUES ('_a'), ('_b')) v(s) WHERE canonical_name IS NOT NULL)
- SELECT substr(sha256('type|' || name), 1, 32) AS type_id, name AS canonical_name, parent_type_id, 'provisional' AS status, created_via FROM x WHERE name NOT IN (SELECT canonical_name FROM t WHERE canonical_name IS NOT NULL)""")
+@query(f"""WITH t AS {_TYPE}, x AS (SELECT type_id, canonical_name || s AS name, parent_type_id, created_via FROM t, (VALUES ('_a'), ('_b')) v(s) WHERE canonical_name IS NOT NULL),
+ bad AS (SELECT type_id FROM (SELECT type_id, name, count(*) OVER (PARTITION BY name) AS n FROM x) WHERE n > 1 OR name IN (SELECT canonical_name FROM t WHERE canonical_name IS NOT NULL))
+ SELECT substr(sha256('type|' || name), 1, 32) AS type_id, name AS canonical_name, parent_type_id, 'provisional' AS status, created_via FROM x WHERE type_id NOT IN (SELECT type_id FROM bad) AND type_id IN (SELECT type_id FROM t WHERE coalesce(status, '') NOT IN ('deprecated', 'merged_into'))""")
 def type_split(spark: SparkSession, folder: str) -> DataFrame:
     t = _types(spark, folder)
     specs = t.where("canonical_name is not null").select(F.col("type_id").alias("source_type_id"), F.explode(F.array(F.concat("canonical_name", F.lit("_a")), F.concat("canonical_name", F.lit("_b")))).alias("name"))
