@@ -686,7 +686,10 @@ def review_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return world.review(c, "proposed").select("candidate_id", "normalized_name", "evidence_count")
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, user_id, event_type, 'event/' || event_id AS source_id, '{"event_id":' || event_id || CASE WHEN user_id IS NULL THEN '' ELSE ',"ref":' || user_id END || CASE WHEN event_type IS NULL THEN '' ELSE ',"code":"' || event_type || '"' END || '}' AS content FROM events),
+o AS (SELECT *, substr(sha256('blob|' || sha256(content)), 1, 32) AS blob_id FROM e),
+i AS (SELECT *, 'ref' AS id_type, user_id::VARCHAR AS id_value FROM o WHERE user_id IS NOT NULL UNION ALL SELECT *, 'code', trim(event_type) FROM o WHERE trim(event_type) <> '')
+SELECT substr(sha256('observation|' || blob_id || '|' || source_id), 1, 32) AS observation_id, substr(sha256('entity|' || id_type || '|' || id_value || '|source:stream'), 1, 32) AS entity_id, 'hard' AS status, id_type, id_value FROM i""")
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """The streaming pipeline over all event rows as JSON contents; its links."""
     scratch = Scratch(spark, "ingest")
