@@ -42,6 +42,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(nearest).select(full[F.col("field")].alias("vector_field"), "id_a", "id_b")
 
 
+def p2_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with both factors at one, which is exact search, through several shards a field."""
+    parts = [neighbours.current_directions(table(spark, folder, name), key, columns) for name, (key, columns) in VECTORS.items()]
+    nearest = neighbours.all_nearest(parts[0].unionByName(parts[1]), Scratch(spark, "nearest"), factor=1.0, shard_factor=1.0, shard=2_000)
+    full = F.create_map(*(F.lit(x) for name, (_, columns) in VECTORS.items() for c, short in columns.items() for x in (short, f"{name}.{c}")))
+    return neighbours.similar_pairs(nearest).select(full[F.col("field")].alias("vector_field"), "id_a", "id_b")
+
+
 def _mapped(spark: SparkSession, folder: str) -> DataFrame:
     candidates = table(spark, folder, "type_candidates")
     mapped = canonical.map_names(candidates.select(F.col("proposed_name").alias("name")), table(spark, folder, "type_catalog"), Scratch(spark, "canonical"))
@@ -137,7 +145,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.composition(documents, Scratch(spark, "subjects").save(found, "found"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_exact, p3_unmatched, p5_found, p6_found, p6_ranking, p8_ids, p8_texts, p9_windows, p9_usage, p9_kept, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_exact, p3_found, p3_exact, p3_unmatched, p5_found, p6_found, p6_ranking, p8_ids, p8_texts, p9_windows, p9_usage, p9_kept, p10_found, p10_composition)}
 
 _W = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 _SEEN = f"""
@@ -164,7 +172,16 @@ b AS (SELECT observation_id, entity_id, max(closeness) AS closeness FROM c GROUP
 
 _PLAIN = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 
+_USABLE = "len({v}) = 64 AND list_bool_and(list_transform({v}, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform({v}, lambda x: x <> 0))"
+_FIELDS = " UNION ALL ".join(
+    f"SELECT '{t}.{c}' AS f, {k} AS id, {c}::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY ingest_seq DESC) AS rn FROM {t} WHERE {k} IS NOT NULL) WHERE rn = 1 AND {c} IS NOT NULL AND {_USABLE.format(v=c)}" for t, (k, columns) in VECTORS.items() for c in columns
+)
+
 ORACLES = {
+    "p2_exact": f"""
+WITH d AS ({_FIELDS}), p AS (SELECT a.f, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM d a JOIN d b ON b.f = a.f AND b.id <> a.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY f, a ORDER BY round(c, 7) DESC, b) AS rk FROM p WHERE c >= 0.92)
+SELECT DISTINCT f AS vector_field, least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rk <= 5""",
     "p3_exact": f"""
 WITH c AS (SELECT * FROM (SELECT candidate_id, proposed_name, row_number() OVER (PARTITION BY candidate_id ORDER BY ingest_seq DESC) AS rn FROM type_candidates WHERE candidate_id IS NOT NULL)
   WHERE rn = 1 AND regexp_matches(proposed_name, '^[ -~]*$') AND NOT regexp_matches(proposed_name, '[a-z][A-Z]')),
