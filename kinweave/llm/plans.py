@@ -132,8 +132,9 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, folder, "documents")
-    terms = subjects.learn(documents, table(spark, folder, "doc_labels"), table(spark, folder, "subjects"))
-    return documents, subjects.assign(documents, terms)
+    scratch = Scratch(spark, "subjects")
+    subjects.learn(documents, table(spark, folder, "doc_labels"), table(spark, folder, "subjects")).store(spark, scratch.root)
+    return documents, subjects.assign(documents, subjects.Terms.stored(spark, scratch.root))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,8 +6,9 @@ often it stands in sentences of its subject than in those of any other, and both
 repeated until they agree.  A term's rarity is counted over all documents.  A multi-pattern
 automaton finds the terms of a whole text in one pass; each sentence goes to the subject with the
 greatest weight, and a subject is assigned if its sentences make up a large enough part, by
-length, of all sentences that have a subject.  That part is calibrated on labelled documents
-which the weights weren't made from.
+length, of all sentences that have a subject.  That part is calibrated, for each subject, on
+labelled documents which the weights weren't made from.  Terms (words and phrases of two), weights
+and parts are two tables, which can be read, corrected and used again.
 """
 
 from __future__ import annotations
@@ -15,21 +16,26 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled documents that are collected to the driver; one in CALIBRATE of them sets the share.
-MOST_LABELLED, CALIBRATE = 8_000, 4
+#: Labelled documents that are collected to the driver, and the bytes of the longest of them; one in CALIBRATE of them sets the shares.
+MOST_LABELLED, MOST_TEXT, CALIBRATE = 8_000, 1 << 14, 4
+#: Labelled sentences that a phrase of two words must stand in to be a term.
+PHRASE_USES = 8
 #: Repetitions of dealing and weighing; the weight that a term must exceed; the least weight of a sentence.
 ROUNDS, OFFSET, LEAST = 8, 0.7, 0.5
 #: Shares among which the calibration chooses.
 SHARES = tuple(round(0.10 + 0.01 * i, 2) for i in range(21))
+#: The share without any calibration, and how much less F1 counts as equal for a single subject.
+SHARE, EQUAL = 0.2, 0.005
 #: A term in more than this part of all documents loses weight, in proportion to the logarithm of its frequency.
 COMMON = 0.05
 
@@ -72,9 +78,12 @@ class Terms:
 
     subjects: list[str]
     weights: dict[str, tuple[int, float]]
-    share: float = 0.2
+    shares: list[float] = field(default_factory=list)
     _automaton: object = field(default=None, repr=False)
 
+    def __post_init__(self):
+        self.shares = self.shares or [SHARE] * len(self.subjects)
+
     def __getstate__(self):
         return self.__dict__ | {"_automaton": None}
 
@@ -122,19 +131,41 @@ class Terms:
             return []
         lengths = self.lengths(normal(text))
         total = lengths.sum()
-        return [int(s) for s in np.flatnonzero((lengths > 0) & (lengths >= self.share * total))]
+        return [int(s) for s in np.flatnonzero((lengths > 0) & (lengths >= np.array(self.shares) * total))]
+
+    def store(self, spark: SparkSession, folder: str) -> None:
+        """Writes the tables terms (term, subject, weight) and shares (subject, share)."""
+        terms = [(t, self.subjects[s], w) for t, (s, w) in self.weights.items()]
+        spark.createDataFrame(terms, "term string, subject string, weight double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/terms")
+        spark.createDataFrame(list(zip(self.subjects, self.shares)), "subject string, share double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/shares")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str) -> Terms:
+        """The terms of two such tables, made by ``learn`` or by hand: a list for people to read, which every worker holds."""
+        shares = {r["subject"]: r["share"] for r in spark.read.parquet(f"{folder}/shares").collect()}
+        names = sorted(shares)
+        rows = spark.read.parquet(f"{folder}/terms").where(F.col("subject").isin(names) & (F.col("weight") > 0)).collect()
+        return cls(names, {normal(r["term"]): (names.index(r["subject"]), r["weight"]) for r in rows}, [shares[n] for n in names])
+
+
+def terms_of(sentence: str) -> set[str]:
+    """The words of a normal sentence, and the phrases of two words with a space between."""
+    found = list(_WORD.finditer(sentence))
+    return {m.group() for m in found} | {sentence[a.start() : b.end()] for a, b in zip(found, found[1:]) if sentence[a.end() : b.start()] == " "}
 
 
 def fit(subjects: list[str], labelled: list[tuple[str, set[int]]]) -> Terms:
     """The terms of labelled texts."""
     vocabulary: dict[str, int] = {}
-    segments: list[tuple[set[int], list[int]]] = []
+    raw: list[tuple[set[int], set[str]]] = []
+    uses: Counter[str] = Counter()
     for text, labels in labelled:
         text = normal(text)
         for a, b in sentences(text):
-            words = {vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(text[a:b])}
-            if words and labels:
-                segments.append((labels, sorted(words)))
+            if labels and (words := terms_of(text[a:b])):
+                uses.update(w for w in words if " " in w)
+                raw.append((labels, words))
+    segments = [(labels, sorted(vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words) if " " not in w or uses[w] >= PHRASE_USES)) for labels, words in raw]
     if not segments:
         return Terms(subjects, {})
     k, rows = len(subjects), np.repeat(np.arange(len(segments)), [len(w) for _, w in segments])
@@ -161,32 +192,35 @@ def fit(subjects: list[str], labelled: list[tuple[str, set[int]]]) -> Terms:
     return Terms(subjects, {w: (int(best[i]), float(weight[i])) for w, i in vocabulary.items() if weight[i] > 0})
 
 
-def calibrate(terms: Terms, labelled: list[tuple[str, set[int]]]) -> float:
-    """The share with the best F1 on labelled texts; the middle of equally good ones, the default without any."""
+def calibrate(terms: Terms, labelled: list[tuple[str, set[int]]]) -> list[float]:
+    """For each subject, of the shares that are as good as its best on labelled texts (by F1), the one nearest to the best for all subjects.
+
+    Without any text, the default.
+    """
     if not labelled or not terms.weights:
-        return terms.share
+        return terms.shares
     lengths = np.array([terms.lengths(normal(t)) for t, _ in labelled])
     share = lengths / np.maximum(1, lengths.sum(axis=1, keepdims=True))
     wanted = np.zeros(share.shape, dtype=bool)
     for i, (_, labels) in enumerate(labelled):
         wanted[i, sorted(labels)] = True
-    f1 = []
-    for s in SHARES:
-        got = (share >= s) & (share > 0)
-        f1.append(2 * (got & wanted).sum() / max(1, got.sum() + wanted.sum()))
-    good = [s for s, f in zip(SHARES, f1) if f >= max(f1) - 0.001]
-    return good[len(good) // 2]
+    got = np.array([(share >= s) & (share > 0) for s in SHARES])
+    hits, sizes = (got & wanted).sum(axis=1), got.sum(axis=1) + wanted.sum(axis=0)  # of each share and subject
+    good = lambda f, slack: [s for s, x in zip(SHARES, f) if x >= f.max() - slack]
+    every = good(2 * hits.sum(axis=1) / np.maximum(1, sizes.sum(axis=1)), 0.001)
+    usual = every[len(every) // 2]
+    return [min(good(f, EQUAL), key=lambda s: abs(s - usual)) for f in (2 * hits / np.maximum(1, sizes)).T]
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = MOST_LABELLED) -> list[tuple[str, set[int]]]:
-    """Texts and labels of at most ``most`` labelled documents, those whose ids have the smallest hash.
+    """Texts and labels of at most ``most`` labelled documents, those whose ids have the smallest hash; of these none of more than MOST_TEXT bytes.
 
     Labels are compared without letter case and outer white space; others than ``subjects`` don't count.
     """
     numbers = {s: i for i, s in enumerate(subjects)}
     named = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull())
     chosen = named.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most `most` rows
+    texts = documents.select("doc_id", "text").where(F.octet_length("text") <= MOST_TEXT).join(F.broadcast(chosen), "doc_id")  # at most `most` rows
     return [(r["text"], {numbers[s] for s in r["subjects"]}) for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
 
 
@@ -216,17 +250,17 @@ def weigh_rarity(terms: Terms, documents: int, frequency: dict[str, int]) -> Ter
     """Lowers the weights of terms that stand in more than a COMMON part of all documents."""
     common = max(1.0, COMMON * documents)
     factor = {w: min(1.0, np.log(max(2.0, documents) / max(1, frequency.get(w, 0))) / np.log(max(2.0, documents) / common)) if documents else 1.0 for w in terms.weights}
-    return Terms(terms.subjects, {w: (s, float(v * factor[w])) for w, (s, v) in terms.weights.items() if factor[w] > 0}, terms.share)
+    return Terms(terms.subjects, {w: (s, float(v * factor[w])) for w, (s, v) in terms.weights.items() if factor[w] > 0}, terms.shares)
 
 
 def learn(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most: int = MOST_LABELLED) -> Terms:
-    """Terms, weights and share, for the closed list of subjects, all of it in the driver."""
+    """Terms, weights and shares, for the closed list of subjects, all of it in the driver."""
     names = sorted({r[0] for r in subjects.select(F.lower(F.trim("subject"))).where("subject is not null").distinct().collect()})
     sample = labelled_sample(documents, labels, names, most)
     held = sample[::CALIBRATE]
     terms = fit(names, [x for i, x in enumerate(sample) if i % CALIBRATE])
     terms = weigh_rarity(terms, *document_frequency(documents, terms))
-    terms.share = calibrate(terms, held)
+    terms.shares = calibrate(terms, held)
     return terms
 
 

@@ -467,6 +467,20 @@ def test_all_subjects_count(spark):
     assert subjects.learn(d, marks, named).subjects == sorted(f"s{i}" for i in range(1200))
 
 
+def test_stored_terms(spark, tmp_path):
+    """Terms are tables that people can read and change; words and phrases."""
+    labelled = [(f"the court heard case {i}. a supreme court ruling. shown on the court of tennis", {0}) for i in range(20)] + [(f"the tennis match {i}. a tennis court in the sun", {1}) for i in range(20)]
+    terms = subjects.fit(["law", "sport"], labelled)
+    assert "supreme court" in terms.weights and "court 1" not in terms.weights and len(terms.shares) == 2
+    terms.shares = [0.3, 0.1]
+    terms.store(spark, str(tmp_path))
+    again = subjects.Terms.stored(spark, str(tmp_path))
+    assert (again.subjects, again.weights, again.shares) == (terms.subjects, terms.weights, terms.shares)
+    own = subjects.Terms(["law", "sport"], {"high court": (0, 2.0), "tennis": (1, 2.0)}, [0.3, 0.1])
+    assert own.assigned("The High Court sat all the long day.\nTennis!") == [0, 1] and own.assigned("A high  courtyard.") == []
+    assert subjects.terms_of("a high court, now") == {"high", "court", "now", "high court"}
+
+
 def test_terms_are_words():
     terms = subjects.Terms(["a"], {"cat": (0, 2.0)})
     assert [terms.assigned(t) for t in ("A cat.", "concatenate", "CAT", "cat2 cats", "")] == [[0], [], [0], [0], []]
