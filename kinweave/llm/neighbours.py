@@ -4,13 +4,15 @@ Vectors become unit directions in 16-bit fixed point (132 bytes of 64 numbers; a
 about 5e-6), and exact copies become one direction with its members, so that a group of copies of
 any size is searched once.  A few routing trees, each fitted to a bounded sample, deal all
 directions into shards; in each shard a tree over all its directions is searched, with the
-triangle inequality relaxed by ``factor`` (see vptree).  The best partners of all shards are
-merged and the members of equal directions are put back.
+triangle inequality relaxed by ``factor`` (see vptree).  Where a field needs more shards than a sample can
+tell apart, each shard is dealt once more, by a tree fitted to a sample of its own, so that shards
+stay as large as a worker can hold.  The best partners of all shards are merged and the members of equal directions are put back.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,10 @@ FACTOR, SHARD_FACTOR = 10.0, 10.0
 VISITS = 8
 #: Directions to which the routing trees of a field are fitted, all of them in the driver; every direction is then indexed.
 ROUTING_SAMPLE = 12_000
-#: Most shards of a tree: each needs some points of the sample. Beyond, shards grow and their own trees deepen.
+#: Most shards of a routing tree: each needs some points of the sample. Beyond, each is dealt into as many again at most.
 MOST_SHARDS = 2048
+#: Points for each leaf of the second trees.
+LEAF_SAMPLE = 16
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +101,19 @@ def current_directions(df: DataFrame, key: str, columns: dict[str, str], dim: in
     return latest.select("id", each.alias("e")).select("e.field", "id", "e.code").where("code is not null")
 
 
-def _routers(points: DataFrame, counts: dict[str, int], trees: int, shard: int, sample: int) -> dict[str, list[VPTree]]:
+def _wanted(n: int, shard: int) -> int:
+    """The shards of a tree for ``n`` directions: a power of two, 1 if all fit into one."""
+    return 1 if n <= shard else 1 << math.ceil(math.log2(VISITS * n / shard))
+
+
+def _routers(points: DataFrame, counts: dict[str, int], trees: int, shard: int, sample: int, most: int = MOST_SHARDS) -> dict[str, list[VPTree]]:
     """The routing trees of each field, from at most ``sample`` directions of it: those with the smallest hash."""
     routers = {}
     for field, n in counts.items():
-        if n <= shard:
+        if _wanted(n, shard) == 1:
             routers[field] = [VPTree.build(np.zeros((0, 1), np.float32), 1)] * trees  # one shard, searched with a tree of its own each time
             continue
-        shards = min(MOST_SHARDS, 1 << math.ceil(math.log2(VISITS * n / shard)))
+        shards = min(most, _wanted(n, shard))
         share = min(1.0, 1.3 * sample / n)
         part = points.where((F.col("field") == field) & (F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("code").orderBy(F.xxhash64("code")).limit(sample)
         v = decode(sorted(bytes(r[0]) for r in part.collect()))  # in an order that doesn't depend on tasks, as in each shard
@@ -112,7 +121,50 @@ def _routers(points: DataFrame, counts: dict[str, int], trees: int, shard: int,
     return routers
 
 
-def all_nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, least: float = 0.92, factor: float = FACTOR, shard_factor: float = SHARD_FACTOR, trees: int = TREES, shard: int = SHARD, leaf: int = LEAF, sample: int = ROUTING_SAMPLE) -> DataFrame:
+def _dealt_again(routed: DataFrame, fields: dict[int, tuple[int, int]], span: int, parts: int, margin: float, scratch: Scratch) -> DataFrame:
+    """Shards dealt into ``parts`` each, with the visitors that the margin asks for: shard, pid, home, code.
+
+    ``fields``: for the number of a field (``span`` shard numbers each) its directions and first
+    shards.  A tree is fitted to a sample of each shard's own directions, where those are; the rows of
+    a shard then stream past its tree.  Shards of other fields keep to one part.
+    """
+    field = F.floor(F.col("shard") / span).cast("int")
+    routed = scratch.save(routed, "routed")
+    deep = routed.where(field.isin(list(fields)))
+    share = F.create_map(*(F.lit(x) for f, (n, shards) in fields.items() for x in (f, int(min(1.0, LEAF_SAMPLE * parts * shards / n) * (1 << 30)))))
+
+    def fitted(table: pa.Table) -> pa.Table:
+        v = decode(sorted(table.column("code").to_pylist()))
+        tree = VPTree.build(v, max(1, math.ceil(len(v) / parts)), 1)
+        return pa.table({"shard": table.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    sampled = deep.where("home").where(F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < share[field]).select("shard", "code")
+    trees = scratch.save(sampled.groupBy("shard").applyInArrow(fitted, "shard long, tree binary"), "trees")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree = None, None
+        for batch in batches:
+            numbers = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1), len(numbers)] if len(numbers) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                rows = batch.slice(a, b - a)
+                if numbers[a] != at:
+                    at, tree = numbers[a], None
+                if rows.column("pid")[0].as_py() is None:  # the shard's tree comes before its rows
+                    tree, rows = pickle.loads(rows.column("code")[0].as_py()), rows.slice(1)
+                if not rows.num_rows:
+                    continue
+                row, leaf, own = (np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int64), np.ones(rows.num_rows, bool)) if tree is None else tree.route(decode(rows.column("code").to_pylist()), margin)
+                home = rows.column("home").to_numpy(zero_copy_only=False)[row] & own
+                yield pa.RecordBatch.from_arrays([pa.array(at * parts + leaf, pa.int64()), rows.column("pid").take(pa.array(row)), pa.array(home), rows.column("code").take(pa.array(row))], names=["shard", "pid", "home", "code"])
+
+    both = trees.select("shard", F.lit(None).cast("long").alias("pid"), F.lit(True).alias("home"), F.col("tree").alias("code")).unionByName(deep)
+    tasks = min(4096, sum(shards for _, shards in fields.values()))
+    again = both.repartition(max(1, tasks), "shard").sortWithinPartitions("shard", F.col("pid").asc_nulls_first()).mapInArrow(route, "shard long, pid long, home boolean, code binary")
+    return again.unionByName(routed.where(~field.isin(list(fields))).withColumn("shard", F.col("shard") * parts))
+
+
+def all_nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, least: float = 0.92, factor: float = FACTOR, shard_factor: float = SHARD_FACTOR, trees: int = TREES, shard: int = SHARD, leaf: int = LEAF, sample: int = ROUTING_SAMPLE, most: int = MOST_SHARDS) -> DataFrame:
     """field, a, b, cos: the k vectors most similar to each vector a of its field, of cosine ``least`` or more.
 
     ``vectors``: field, id (packed), code (see current_directions), one row for each field and id.
@@ -121,7 +173,7 @@ def all_nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, least: float =
     vectors = scratch.save(vectors, "vectors")
     points = scratch.save(vectors.groupBy("field", "code").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("pid", F.monotonically_increasing_id()), "points")
     counts = {r["field"]: r["n"] for r in points.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}
-    routers = scratch.spark.sparkContext.broadcast(_routers(points, counts, trees, shard, sample))
+    routers = scratch.spark.sparkContext.broadcast(_routers(points, counts, trees, shard, sample, most))
     radius, names = math.sqrt(2 - 2 * least), sorted(counts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +186,8 @@ def all_nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, least: float =
                 v = decode(codes.to_pylist())
                 for t, tree in enumerate(routers.value[field]):
                     row, at, home = tree.route(v, radius / shard_factor)
-                    number = (names.index(field) * trees + t) * MOST_SHARDS + at
-                    yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(pid[row], pa.int64()), pa.array(home), codes.take(pa.array(row))], names=["shard", "pid", "home", "code"])
+                    number = (names.index(field) * trees + t) * most + at
+                    yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(pid[row], pa.int64()), pa.array(home), codes.take(pa.array(row))], names=["shard", "pid", "home", "code"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -152,9 +204,14 @@ def all_nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, least: float =
             pair, once = np.unique(np.minimum(a, b) * len(v) + np.maximum(a, b), return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(pid[pair // len(v)], pa.int64()), pa.array(pid[pair % len(v)], pa.int64()), pa.array(cos[once].astype(np.float64))], names=["a", "b", "cos"])
 
-    routed = points.select("field", "pid", "code").mapInArrow(route, "shard int, pid long, home boolean, code binary")
-    shards = sum(len(r) * r[0].leaves for r in routers.value.values())
-    dealt = routed.repartition(max(1, min(shards, 4096)), "shard")
+    routed = points.select("field", "pid", "code").mapInArrow(route, "shard long, pid long, home boolean, code binary")
+    shards = sum(trees * _wanted(n, shard) for n in counts.values())
+    parts = min(most, max((-(-_wanted(n, shard) // most) for n in counts.values()), default=1))
+    if parts > 1:
+        deep = {names.index(f): (n, trees * most) for f, n in counts.items() if _wanted(n, shard) > most}
+        # Each direction is at home once in every tree.
+        routed = _dealt_again(routed, {i: (n * trees, m) for i, (n, m) in deep.items()}, trees * most, parts, radius / shard_factor, scratch)
+    dealt = routed.repartition(max(1, min(shards, 1 << 16)), "shard")
     near = dealt.mapInArrow(search, "a long, b long, cos double")
     pairs = scratch.save(near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cos").alias("cos")), "pairs")
     # A pair that one side found serves the other too.

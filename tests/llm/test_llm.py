@@ -110,6 +110,19 @@ def test_shards_are_made_for_visitors_too(spark):
         assert {t.leaves for t in neighbours._routers(points, {"f": 3000}, 2, shard, 2900)["f"]} == {leaves}
 
 
+def test_shards_are_dealt_again(spark, cloud):
+    """More shards than one tree tells apart: exact at factor one, hardly a loss else, and no pair across fields."""
+    ids, v = cloud
+    codes = neighbours.encode(v.astype(float))
+    rows = [(f, i, c) for f in ("f", "g") for i, c in zip(ids, codes)] + [("h", i, c) for i, c in zip(ids[:150], codes)]
+    vectors = spark.createDataFrame(rows, "field string, id string, code binary").withColumn("id", neighbours.packed(F.col("id")))
+    run = lambda **o: {tuple(r) for r in neighbours.similar_pairs(neighbours.all_nearest(vectors, Scratch(spark, "t"), shard=200, most=4, leaf=64, **o)).collect()}
+    want = {(f, *p) for f in ("f", "g") for p in brute(ids, v, 5, 0.92)} | {("h", *p) for p in brute(ids[:150], v[:150], 5, 0.92)}
+    assert run(factor=1.0, shard_factor=1.0) == want
+    found = run()
+    assert len(found & want) >= 0.97 * len(want) and len(found - want) <= 0.03 * len(want)
+
+
 def test_shard_search_exact(cloud):
     _, v = cloud
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
