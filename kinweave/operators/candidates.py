@@ -121,15 +121,28 @@ def _cells(pool: DataFrame, scratch: Scratch, cell: int, most: int) -> tuple[_Ce
     return cells, dealt
 
 
+def _best(cos: np.ndarray, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and cosines of the k greatest of each row, ties by column, that aren't under the row's ``kth`` (NaN for none)."""
+    least = np.where(np.isnan(kth), -np.inf, kth)
+    if cos.shape[1] > k:
+        least = np.maximum(least, np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k])
+    row, col = np.nonzero(cos >= least[:, None])
+    value = cos[row, col]
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], value[keep]
+
+
 def _searched(visits: DataFrame, dealt: DataFrame, cells: _Cells, k: int) -> DataFrame:
-    """query_id, entity_id, cosine: the k nearest of each cell's part to each query that visits it (cell, id, unit)."""
+    """query_id, entity_id, cosine: the k nearest of each cell's part to each query that visits it (cell, id, unit, kth), none under its kth."""
     spark = visits.sparkSession
     asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = spark.createDataFrame([(c, int(-(-cells.size[c] // BLOCK)), int(-(-n // QUERIES))) for c, n in asked.items()], "cell int, parts int, turns int")
     deal = lambda c, n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(c)
     each = lambda c, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
-    own = dealt.join(F.broadcast(sizes), "cell").select("cell", deal("part", "parts"), each("turn", "turns"), F.lit(0).alias("asks"), "id", "unit")
-    guests = visits.join(F.broadcast(sizes), "cell").select("cell", each("part", "parts"), deal("turn", "turns"), F.lit(1).alias("asks"), "id", "unit")
+    own = dealt.join(F.broadcast(sizes), "cell").select("cell", deal("part", "parts"), each("turn", "turns"), F.lit(0).alias("asks"), "id", "unit", F.lit(None).cast("double").alias("kth"))
+    guests = visits.join(F.broadcast(sizes), "cell").select("cell", each("part", "parts"), deal("turn", "turns"), F.lit(1).alias("asks"), "id", "unit", "kth")
     tasks = max(1, min(2048, sum(int(-(-cells.size[c] // BLOCK)) * int(-(-n // QUERIES)) for c, n in asked.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +164,10 @@ def _searched(visits: DataFrame, dealt: DataFrame, cells: _Cells, k: int) -> Dat
                     ids, pool = whole.column("id").combine_chunks(), _matrix(whole.column("unit"))
                     order = pa.compute.sort_indices(ids)
                     ids, pool = ids.take(order), pool[order.to_numpy()]
-                cos = np.round(_matrix(rows.column("unit")) @ pool.T, 12)
-                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                asking = rows.column("id").take(pa.array(np.repeat(np.arange(len(best)), best.shape[1])))
-                yield pa.RecordBatch.from_arrays([asking, ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(cos, best, 1).ravel())], names=["query_id", "entity_id", "cosine"])
+                for at in range(0, rows.num_rows, 2048):
+                    some = rows.slice(at, 2048)
+                    row, col, cos = _best(np.round(_matrix(some.column("unit")) @ pool.T, 12), k, some.column("kth").to_numpy(zero_copy_only=False).astype(float))
+                    yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(row)), ids.take(pa.array(col)), pa.array(cos)], names=["query_id", "entity_id", "cosine"])
 
     placed = own.unionByName(guests).repartition(tasks, "cell", "part", "turn").sortWithinPartitions("cell", "part", "turn", "asks")
     return placed.mapInArrow(run, "query_id string, entity_id string, cosine double")
@@ -177,17 +190,17 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int = TOP_K, dim: int | None
             known = shared.value
             for batch in batches:
                 for key, rows, far in known.of(batch):
-                    take = known.near(key, far, k)
+                    take, kth = known.near(key, far, k), np.full(len(rows), np.nan)
                     if bounded:  # without k partners so far every cell is due
                         kth = batch.column("kth").take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(float)
                         take = known.within(key, far, np.where(np.isnan(kth), np.inf, _far(kth))) & ~take
                     row, to = np.nonzero(take)
                     at = pa.array(rows[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(known.first[key] + to, pa.int32()), batch.column("id").take(at), batch.column("unit").take(at)], names=["cell", "id", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(known.first[key] + to, pa.int32()), batch.column("id").take(at), batch.column("unit").take(at), pa.array(kth[row])], names=["cell", "id", "unit", "kth"])
 
         return run
 
-    shape, order = "cell int, id string, unit binary", Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "entity_id")
+    shape, order = "cell int, id string, unit binary, kth double", Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "entity_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     first = _searched(scratch.save(asked.mapInArrow(visits(False), shape), "visits"), dealt, cells, k)
     if max(map(len, cells.pivots.values()), default=0) < 2:  # one cell a group: all of it was searched

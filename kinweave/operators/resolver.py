@@ -91,11 +91,12 @@ def _signals(nature: str, names: bool, unwrapped: bool) -> dict[str, Column]:
     place = F.when(F.col("lat").isNotNull() & F.col("e_lat").isNotNull() & F.col("e_lon").isNotNull(), location_decay(haversine_km("lat", "lon", "e_lat", "e_lon")))
     time = F.when(F.col("at").isNotNull() & F.col("e_at").isNotNull(), time_decay("at", "e_at"))
     # A bare facet never equals a wrapped slot; ``unwrapped`` compares it with what the slot holds.
-    same = (lambda facet, s: F.coalesce(s["ref_entity_id"], s["value_str"], s["value_num"].cast("string")) == facet) if unwrapped else (lambda facet, s: F.lit(False))
+    same = lambda facet, s: F.coalesce(s["ref_entity_id"], s["value_str"], s["value_num"].cast("string")) == facet
+    facet = facet_agreement(F.col("facets"), F.col("slots"), same) if unwrapped else F.when(F.col("has_facets") & F.col("has_slots"), 0.0)
     called = {"name": name_match("suggested_name", "name")} if names else {}
     return {
         "individual": {"image": F.col("similarity"), "location": place, "timestamp": time},
-        "class": {"text": F.col("similarity"), "facet": facet_agreement(F.col("facets"), F.col("slots"), same), **called},
+        "class": {"text": F.col("similarity"), "facet": facet, **called},
         "group": {"location": place},
         "event": {"timestamp": time, "location": place},
     }[nature]
@@ -113,8 +114,11 @@ def similarity_links(seeds: DataFrame, entities: DataFrame, scratch: Scratch, th
     own = seeds.withColumn("query_id", F.concat_ws("|", *_SEED))
     pools = [live_pool(entities, prototype, nature) for nature, prototype in PROTOTYPES.items()]
     found = nearest(own.select("query_id", "entity_nature", "vector"), reduce(DataFrame.unionByName, pools), k, dim, "entity_nature", scratch)
-    facts = entities.select("entity_id", "e_lat", "e_lon", "e_at", "slots", "name")
-    scored = found.join(own.select("query_id", *_SEED, "entity_nature", "lat", "lon", "at", "facets", "suggested_name"), "query_id").join(facts, "entity_id").withColumn("similarity", _rescaled(F.col("cosine")))
+    # Maps go to the pairs of classes only, and only where their values count.
+    maps = lambda c: F.when((F.col("entity_nature") == "class") & F.lit(unwrapped), F.col(c)).alias(c)
+    filled = lambda c: (F.coalesce(F.size(c), F.lit(0)) > 0).alias(f"has_{c}")
+    facts = entities.select("entity_id", "e_lat", "e_lon", "e_at", maps("slots"), filled("slots"), "name")
+    scored = found.join(own.select("query_id", *_SEED, "entity_nature", "lat", "lon", "at", maps("facets"), filled("facets"), "suggested_name"), "query_id").join(facts, "entity_id").withColumn("similarity", _rescaled(F.col("cosine")))
     score = reduce(lambda rest, n: F.when(F.col("entity_nature") == n, combined_score(n, _signals(n, names, unwrapped))).otherwise(rest), PROTOTYPES, F.lit(None))
     individual = F.col("entity_nature") == "individual"
     signals = _signals("individual", names, unwrapped)
