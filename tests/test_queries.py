@@ -2,9 +2,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import rows, views
-from kinweave.plans import problems, reference
+from kinweave.plans import details, problems, reference
 
-NAMES = [n for m in (reference, problems) for n in m.QUERIES]
+NAMES = [n for m in (reference, details, problems) for n in m.QUERIES]
 
 
 def test_entry(spark, small):
