@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +53,13 @@ def new_blobs(candidates: DataFrame, known: DataFrame) -> DataFrame:
 def new_observations(incoming: DataFrame, known: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """Rows of ``incoming`` (blob_id, source_id, ...) whose content at that source is new; of equal ones the first.
 
-    The same content elsewhere is a new observation of the shared blob.  ``order`` differs from row
+    The same content elsewhere is a new observation of the shared blob, NULL sources are one.  ``order`` differs from row
     to row.  Only the keys are grouped; the rows, which may carry contents, are met by order after.
     """
     keys = ["blob_id", "source_id"]
-    firsts = incoming.groupBy(*keys).agg(F.min(order).alias(order)).join(known.select(*keys), keys, "left_anti")
-    return incoming.join(firsts, [*keys, order], "left_semi")
+    same = lambda *columns: reduce(lambda x, y: x & y, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns))
+    firsts = incoming.groupBy(*keys).agg(F.min(order).alias(order)).alias("a").join(known.select(*keys).alias("b"), same(*keys), "left_anti")
+    return incoming.alias("a").join(firsts.alias("b"), same(*keys, order), "left_semi")
 
 
 def probed(contents: DataFrame, content: str = "content", source: str = "source_id") -> DataFrame:

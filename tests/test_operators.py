@@ -22,6 +22,9 @@ def test_blobs(made, got):
     rows = made([(1, "b", "s"), (2, "b", "s"), (3, "b", "t")], "ingest_seq long, blob_id string, source_id string")
     assert got(ingest.new_observations(rows, known).select("ingest_seq")) == [(1,), (3,)]
     assert got(ingest.new_observations(rows, made([("b", "s")], "blob_id string, source_id string")).select("ingest_seq")) == [(3,)]
+    unnamed = made([(1, "b", None), (2, "b", None), (3, None, "s"), (4, "c", None)], "ingest_seq long, blob_id string, source_id string")
+    assert got(ingest.new_observations(unnamed, known).select("ingest_seq")) == [(1,), (3,), (4,)]
+    assert got(ingest.new_observations(unnamed, made([("b", None)], "blob_id string, source_id string")).select("ingest_seq")) == [(3,), (4,)]
 
 
 def test_scan(spark, tmp_path):
