@@ -186,8 +186,14 @@ def embed_with(df: DataFrame, text: str, embedder: Callable[[pd.Series], pd.Seri
     return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(text))
 
 
+def merged_maps(base: Column, other: Column) -> Column:
+    """The entries of two maps; those of ``other``, NULL values too, win. NULL maps are empty. No setting for repeated keys changes it."""
+    held = lambda m: F.transform_values(F.coalesce(m, F.create_map()), lambda k, v: F.struct(v.alias("v")))
+    return F.map_zip_with(held(base), held(other), lambda k, b, o: F.coalesce(o, b)["v"])
+
+
 def merge_features(base: Column, other: Column) -> Column:
     """Two extraction results as one: ids of both, each once; other fields of ``other`` where it has them."""
     pick = lambda f: F.coalesce(other[f], base[f])
     ids = F.array_distinct(F.concat(F.coalesce(base["ids"], F.array()), F.coalesce(other["ids"], F.array())))
-    return F.struct(pick("hash_value").alias("hash_value"), pick("extracted_text").alias("extracted_text"), ids.alias("ids"), F.map_concat(F.coalesce(base["extra"], F.create_map()), F.coalesce(other["extra"], F.create_map())).alias("extra"))
+    return F.struct(pick("hash_value").alias("hash_value"), pick("extracted_text").alias("extracted_text"), ids.alias("ids"), merged_maps(base["extra"], other["extra"]).alias("extra"))

@@ -204,3 +204,16 @@ def test_merged_features_and_slot_checks(spark):
     assert say("malformed_reference", "passed", None) == "[warning] invalid reference" and say("malformed_reference", "passed", None, True) == "invalid reference"
     assert say(None, "primitive", "blob") == "[warning] unknown type blob" and say(None, "primitive", "url") is None and say("unrecognized_structure", "passed", None).startswith("[warning] neither")
     assert one(spark, spacetime.observation_date(F.lit("2024-03-04 23:59:59").cast("timestamp"))) == "2024-03-04"
+
+
+@pytest.mark.parametrize("policy", ["EXCEPTION", "LAST_WIN"])
+def test_merged_maps(spark, policy):
+    key = "spark.sql.mapKeyDedupPolicy"
+    before = spark.conf.get(key)
+    spark.conf.set(key, policy)
+    try:
+        pairs = spark.sql("select * from values (map('a', '1', 'b', '2'), map('b', '3', 'c', '4')), (map('a', '1'), map('a', null)), (map('a', null), map()), (null, map('a', '1')), (map('a', '1'), null), (null, null) as t(base, other)")
+        got = [r["m"] for r in pairs.select(documents.merged_maps(F.col("base"), F.col("other")).alias("m")).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert got == [{"a": "1", "b": "3", "c": "4"}, {"a": None}, {"a": None}, {"a": "1"}, {"a": "1"}, {}]
