@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.documents import decoded, json_features, text_features
+from kinweave.functions.documents import decoded, json_features, merged_maps, text_features
 from kinweave.functions.media import exif_ids
 from kinweave.functions.names import resolve_namespace
 
@@ -36,8 +36,8 @@ def namespaced(ids: Column, context: Column) -> Column:
 
 
 def merged_facets(extra: Column, facets: Column, keys: tuple[str, ...] = ("gps_latitude", "gps_longitude", "datetime")) -> Column:
-    """Facets (a map), with those of the listed extracted values that they lack."""
-    return F.map_concat(F.map_filter(extra, lambda k, v: k.isin(*keys) & v.isNotNull()), facets)
+    """Facets (a map), with those of the listed extracted values that they lack. NULL maps are empty."""
+    return merged_maps(F.map_filter(extra, lambda k, v: k.isin(*keys) & v.isNotNull()), facets)
 
 
 def proposed(observations: DataFrame, context: Column) -> DataFrame:

@@ -30,6 +30,11 @@ def test_merged_facets(spark):
     assert spark.range(1).select(extraction.merged_facets(m(datetime="d", gps_latitude="1", other="x"), m(datetime="mine"))).first()[0] == {"datetime": "mine", "gps_latitude": "1"}
 
 
+def test_merged_facets_of_missing_maps(spark):
+    pairs = spark.sql("select * from values (null, map('datetime', 'mine')), (map('datetime', 'd', 'other', 'x'), null), (map('datetime', 'd'), map('datetime', null)), (null, null) as t(extra, facets)")
+    assert [r["m"] for r in pairs.select(extraction.merged_facets(F.col("extra"), F.col("facets")).alias("m")).collect()] == [{"datetime": "mine"}, {"datetime": "d"}, {"datetime": None}, {}]
+
+
 ENTITY = f"entity_id string, entity_nature string, name string, canonical_entity_id string, status string, slots map<string,{resolver.SLOT}>, prototype_image_embedding array<double>, prototype_text_embedding array<double>, prototype_count int"
 OBSERVATION = "observation_id string, medium string, facets map<string,string>, seq long"
 SIGNATURE = "signature_id string, observation_id string, image_embedding array<double>, text_embedding array<double>, clip_text_embedding array<double>"

@@ -52,3 +52,10 @@ def test_merged_results_by_default_settings(strict, small, made, tmp_path):
     odd = [(1, "a", "o1", None), (2, "a", "o2", "h2"), (3, "a", "o3", None), (4, "b", "o4", None), (5, "c", "o5", "h5"), (6, "c", None, "h6"), (None, "d", "o7", "h7"), (None, "e", "o8", "h8"), (9, "e", "o9", None), (10, None, "o10", "h10")]
     made(odd, "ingest_seq long, signature_id string, observation_id string, hash_value string").write.parquet(str(tmp_path / "signatures.parquet"))
     same(strict, tmp_path, "merged_results")
+
+
+def test_facet_merge_by_default_settings(strict, small, made, tmp_path):
+    same(strict, small, "facet_merge")
+    odd = [("o1", 0), ("o2", 1), ("o3", 2), ("o4", 3), ("o5", 6), ("o6", None), (None, 8), ("o7", -2), ("o7", -2), ("o8", -3), ("o9", 2**63 - 1)]
+    made(odd, "observation_id string, ingest_seq long").write.parquet(str(tmp_path / "observations.parquet"))
+    same(strict, tmp_path, "facet_merge")
