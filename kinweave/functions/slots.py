@@ -76,6 +76,16 @@ def warning_evidence(normal: DataFrame, key: str, most: int = MOST_WARNINGS) ->
     return normal.where("code is not null").select(key, "slot_name", "code").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
 
 
+def warning_messages(normal: DataFrame, key: str, most: int = MOST_WARNINGS) -> DataFrame:
+    """The rows behind the warnings of warning_evidence, each with what validation says of it.
+
+    The message comes from the same row, so that no row meets another by a join, whose size the planner can't tell from a table of short JSON.
+    """
+    order = Window.partitionBy(key).orderBy("slot_name", "code")
+    said = normal.where("code is not null").select(key, "slot_name", "code", validation_message(F.struct("kind", "type", "code")).alias("message"))
+    return said.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= most).drop("n")
+
+
 def index_value(s: Column) -> Column:
     """What a stored slot struct is searched by: the referenced id, else its text, else its number."""
     return F.coalesce(s["ref_entity_id"], s["value_str"], s["value_num"].cast("string"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import documents, media, names, slots, spacetime, vectors
+from kinweave.plans import details
 
 
 def one(spark, column, **values):
@@ -154,6 +155,15 @@ def test_warning_cap(spark):
     assert slots.warning_evidence(slots.normalize_slots(df, "k", "s"), "k").count() == 20
 
 
+def test_warning_messages(spark, got, small):
+    """Each warning has the message of its own row, and none is looked up by a join, which would be broadcast."""
+    df = spark.createDataFrame([(1, '{"w": 3}'), (1, '{"w": {"value": 3, "type": "number"}}'), (2, json.dumps({f"n{i:02}": i for i in range(30)})), (2, '{"n00": 0, "n29": 1}')], "k int, s string")
+    rows = got(slots.warning_messages(slots.normalize_slots(df, "k", "s"), "k"))
+    bare = "[warning] bare primitive not wrapped"
+    assert rows == sorted([(1, "w", "bare_numeric", bare), (1, "w", "missing_unit", None), (2, "n00", "bare_numeric", bare), *((2, f"n{i:02}", "bare_numeric", bare) for i in range(20))], key=repr)
+    assert "Join" not in details.slot_warnings(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 RICH = {
     "b": [{"x": [1, 2, {"deep": None}], "SKU": " s-1 "}, 7], "a": {"": 0, "k.d": True, "n": -2.5}, "code": "", "ref": {"id": 1}, "uuid": False, "items": [{"item_id": i} for i in range(12)], "e": [], "o": {}, "u": "ü\n€",
 }
