@@ -47,7 +47,19 @@ def align(observations: DataFrame, events: DataFrame, cell_degrees: float = 0.25
     placed = near_o.join(near_e, ["_band", "_x"]).drop("_band", "_x")
     kinds = rest.withColumn("_s", F.explode(F.array_distinct(F.transform("o_species", lambda s: F.lower(s))))).join(events.withColumn("_s", F.explode(F.array_distinct(F.transform("e_species", lambda s: F.lower(s))))), "_s").drop("_s")
     pairs = dated.unionByName(placed).unionByName(kinds)
-    scored = pairs.withColumn("_a", alignment_score()).groupBy("observation_id", "entity_id").agg(F.max("_a").alias("a"))
+    return links_of_pairs(pairs.withColumn("_a", alignment_score()).groupBy("observation_id", "entity_id").agg(F.max("_a").alias("a")))
+
+
+def aligned_by_date(observations: DataFrame, events: DataFrame) -> DataFrame:
+    """As align, for the observations with a date, and the columns of the pairs: ids are unique on both sides, so each pair arises once and no shuffle has to move it."""
+    parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by rows, not by bytes: the pairs of few bytes are many
+    spread = lambda df, date: df.where(F.col(date).isNotNull()).repartition(parts, date)
+    pairs = spread(observations, "o_date").join(spread(events, "e_date"), F.col("o_date") == F.col("e_date"))
+    return pairs.withColumn("a", alignment_score())
+
+
+def links_of_pairs(scored: DataFrame) -> DataFrame:
+    """The links of pairs and their scores (observation_id, entity_id, a) of the least score or more."""
     return scored.where(F.col("a.score") >= CANDIDATE).select("observation_id", "entity_id", F.col("a.score").alias("posterior"), F.when(F.col("a.score") >= SOFT, "soft").otherwise("candidate").alias("status"), F.lit("context").alias("role"), F.col("a.flags").alias("flags"))
 
 

@@ -18,7 +18,7 @@ from kinweave.operators import events, prototypes, slotrefs
 from kinweave.operators.candidates import TOP_K, live_pool, nearest
 from kinweave.operators.identifiers import KEY, lookup
 from kinweave.operators.reconcile import audit, canonicalised, deduplicated, reconcile
-from kinweave.operators.scoring import Thresholds, combined_score, decide, facet_agreement, links_of, unmatched, with_margin
+from kinweave.operators.scoring import Thresholds, combined_score, decide, facet_agreement, links_of, unmatched, with_margin_in_order
 from kinweave.storage import Scratch
 
 #: The prototype that a seed of each nature is compared with; the name of the seed that the engine makes for what an image shows.
@@ -111,24 +111,28 @@ def similarity_links(seeds: DataFrame, entities: DataFrame, scratch: Scratch, th
     count, ``unwrapped`` compares facets with the values of slots.
     """
     proto = derived_id("entity", F.lit("proto"), *_SEED)
-    own = seeds.withColumn("query_id", F.concat_ws("|", *_SEED))
-    pools = [live_pool(entities, prototype, nature) for nature, prototype in PROTOTYPES.items()]
-    found = nearest(own.select("query_id", "entity_nature", "vector"), reduce(DataFrame.unionByName, pools), k, dim, "entity_nature", scratch)
     # Maps go to the pairs of classes only, and only where their values count.
-    maps = lambda c: F.when((F.col("entity_nature") == "class") & F.lit(unwrapped), F.col(c)).alias(c)
-    filled = lambda c: (F.coalesce(F.size(c), F.lit(0)) > 0).alias(f"has_{c}")
-    facts = entities.select("entity_id", "e_lat", "e_lon", "e_at", maps("slots"), filled("slots"), "name")
-    scored = found.join(own.select("query_id", *_SEED, "entity_nature", "lat", "lon", "at", maps("facets"), filled("facets"), "suggested_name"), "query_id").join(facts, "entity_id").withColumn("similarity", _rescaled(F.col("cosine")))
+    maps = lambda c: F.when((F.col("entity_nature") == "class") & F.lit(unwrapped), F.col(c))
+    filled = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    called = lambda c: F.when(F.lit(names), F.col(c))
+    own = seeds.select(F.concat_ws("|", *_SEED).alias("query_id"), *_SEED, "entity_nature", "vector", "lat", "lon", "at", maps("facets").alias("facets"), filled("facets").alias("has_facets"), called("suggested_name").alias("suggested_name"))
+    world = entities.withColumn("has_slots", filled("slots")).withColumn("slots", maps("slots")).withColumn("name", called("name"))
+    facts = ("e_lat", "e_lon", "e_at", "slots", "has_slots", "name")
+    pools = [live_pool(world, prototype, nature, *facts) for nature, prototype in PROTOTYPES.items()]
+    asked = (*_SEED, "entity_nature", "lat", "lon", "at", "facets", "has_facets", "suggested_name")
+    scored = nearest(own, reduce(DataFrame.unionByName, pools), k, dim, "entity_nature", scratch, asked=asked, facts=facts).withColumn("similarity", _rescaled(F.col("cosine")))
     score = reduce(lambda rest, n: F.when(F.col("entity_nature") == n, combined_score(n, _signals(n, names, unwrapped))).otherwise(rest), PROTOTYPES, F.lit(None))
     individual = F.col("entity_nature") == "individual"
     signals = _signals("individual", names, unwrapped)
     has = lambda *flags: F.exists("_s.flags", lambda f: f.isin(*flags))
     located, timed = F.col("entity_nature") != "class", F.col("entity_nature").isin("individual", "event")
     rows = scored.withColumn("_s", score).select(
-        *_SEED, "entity_id", "rank", F.col("entity_nature").alias("nature"), "_s.score", "_s.coverage", has("sparse_signals", "single_signal").alias("sparse"), has("low_evidence").alias("low_evidence"),
+        "query_id", *_SEED, "entity_id", "rank", F.col("entity_nature").alias("nature"), "_s.score", "_s.coverage", has("sparse_signals", "single_signal").alias("sparse"), has("low_evidence").alias("low_evidence"),
         F.when(individual, F.col("similarity")).alias("image"), F.when(located, signals["location"]).alias("location"), F.when(timed, signals["timestamp"]).alias("timestamp"),
     )
-    best = scratch.save(decide(with_margin(rows, *_SEED), thresholds), "decided")
+    best = scratch.save(decide(with_margin_in_order(rows, "query_id"), thresholds).drop("query_id"), "decided")
+    scratch.drop("queries", "pool")
+    scratch.collect()
     decided = best.select(*_SEED, "entity_id", "nature", "score", "coverage", "margin", "pool_size", "decision", "flags")
     without = seeds.where("vector is null")
     none = [unmatched(without.select(*_SEED), without.select(*_SEED).limit(0), proto, "no_embedding_available", *_SEED), unmatched(seeds.where("vector is not null").select(*_SEED), decided, proto, "no_candidates_found", *_SEED)]
@@ -181,15 +185,17 @@ def prototype_updates(links: DataFrame, vectors: DataFrame, entities: DataFrame,
     of the updates so far; what an entity lacks is set by the first vector.
     """
     sure = prototypes.eligible(links, least).select("observation_id", "entity_id", "weight")
-    known = entities.select("entity_id", "slots", "name", "prototype_image_embedding", "prototype_text_embedding", F.coalesce("prototype_count", F.lit(0)).alias("stored"))
-    rows = sure.join(vectors, "observation_id").join(order, "observation_id").join(known, "entity_id")
-    rows = rows.withColumn("image", F.when(prototypes.takes_image(F.col("slots"), F.col("name")), F.col("image_embedding"))).withColumn("text", F.col("text_embedding")).where("image is not null or text is not null")
+    # Whether there are vectors is told apart from the vectors, so that counting the updates needs none of them.
+    known = entities.select("entity_id", prototypes.takes_image(F.col("slots"), F.col("name")).alias("takes"), "prototype_image_embedding", "prototype_text_embedding", F.coalesce("prototype_count", F.lit(0)).alias("stored"))
+    given = vectors.withColumn("pictured", F.col("image_embedding").isNotNull()).withColumn("worded", F.col("text_embedding").isNotNull())
+    rows = sure.join(given, "observation_id").join(order, "observation_id").join(known, "entity_id").where("(takes and pictured) or worded")
+    rows = rows.withColumn("image", F.when(F.col("takes"), F.col("image_embedding"))).withColumn("text", F.col("text_embedding"))
     before = F.row_number().over(Window.partitionBy("entity_id").orderBy("seq", "observation_id"))
     narrow = rows.select("entity_id", "observation_id", "seq", "stored").withColumn("nth", before).withColumn("before", F.col("stored") + F.col("nth") - 1).drop("seq", "stored")
     rows = rows.join(narrow, ["entity_id", "observation_id"])
-    fold = lambda vector, current: prototypes.updated(rows.where(F.col(vector).isNotNull()).select("entity_id", F.col(current).alias("current"), F.col("stored").alias("prototype_count"), F.col("nth").alias("seq"), "before", F.col(vector).alias("vector"), "weight")).select("entity_id", F.col("prototype").alias(vector))
+    fold = lambda vector, current: prototypes.updated(rows.where(F.col(vector).isNotNull()).select("entity_id", F.col(current).alias("current"), F.col("stored").alias("prototype_count"), F.col("nth").alias("seq"), "before", F.col(vector).alias("vector"), "weight")).groupBy("entity_id").agg(F.first("prototype").alias(vector))  # noqa: E731  # one row each, which the planner sees from the grouping
     counts = rows.groupBy("entity_id").agg((F.max("stored") + F.count(F.lit(1))).cast("int").alias("prototype_count"))
-    out = counts.join(fold("image", "prototype_image_embedding"), "entity_id", "left").join(fold("text", "prototype_text_embedding"), "entity_id", "left").join(known.drop("slots", "name", "stored"), "entity_id")
+    out = counts.join(fold("image", "prototype_image_embedding"), "entity_id", "left").join(fold("text", "prototype_text_embedding"), "entity_id", "left").join(known.drop("takes", "stored"), "entity_id")
     return out.select("entity_id", *(F.coalesce(F.col(v), F.col(c).cast("array<double>")).alias(c) for v, c in (("image", "prototype_image_embedding"), ("text", "prototype_text_embedding"))), "prototype_count")
 
 
@@ -200,6 +206,28 @@ def with_references(entities: DataFrame, resolved: DataFrame) -> DataFrame:
     return entities.join(targets, "entity_id", "left").withColumn("slots", F.when(F.col("_t").isNull(), F.col("slots")).otherwise(filled)).drop("_t")
 
 
+def _alignments(images: DataFrame, live: DataFrame, mine: DataFrame, canonical: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links of observations to events that no other link of the observation can meet, and those that one may.
+
+    Alignments are as many as observations and events share dates, so the former aren't stored or
+    shuffled: they are made where they are read.  A link ``mine`` meets an event by its entity or by
+    what that was merged into.
+    """
+    root = canonical.select(F.col("id").alias("entity_id"), "root")
+    moved = scratch.save(live.select("entity_id").join(root, "entity_id").where(F.col("root") != F.col("entity_id")), "moved")  # none of a world whose chains are whole
+    shared = moved.select("entity_id").unionByName(moved.select(F.col("root").alias("entity_id"))).distinct().withColumn("shared", F.lit(True))
+    named = scratch.save(live.join(shared, "entity_id", "left").withColumn("shared", F.coalesce("shared", F.lit(False))), "events")
+    own = mine.select("observation_id", "entity_id")
+    own = own.unionByName(own.join(root, "entity_id").select("observation_id", F.col("root").alias("entity_id"))).join(named.select("entity_id"), "entity_id", "left_semi")
+    met = own.groupBy("observation_id").agg(F.collect_set("entity_id").alias("met"))
+    seen = scratch.save(images.join(met, "observation_id", "left"), "seen")
+    pairs = events.aligned_by_date(seen, named)
+    meets = F.col("shared") | F.coalesce(F.array_contains("met", F.col("entity_id")), F.lit(False))
+    links = lambda df: events.links_of_pairs(df).withColumn("seed_index", F.lit(ALIGNED))
+    undated = events.align(images.where("o_date is null"), live).withColumn("seed_index", F.lit(ALIGNED))
+    return links(pairs.where(~meets)), scratch.save(links(pairs.where(meets)).unionByName(undated), "meeting")
+
+
 def resolve(observations: DataFrame, signatures: DataFrame, seeds: DataFrame, ids: DataFrame, entities: DataFrame, bindings: DataFrame, canonical: DataFrame, scratch: Scratch, thresholds: Thresholds = Thresholds(), k: int = TOP_K, dim: int | None = None, names: bool = False, unwrapped: bool = False) -> dict[str, DataFrame]:
     """links, entities, bindings, prototypes, participants, audit, references, decisions, flags: what a batch adds to the world.
 
@@ -218,20 +246,26 @@ def resolve(observations: DataFrame, signatures: DataFrame, seeds: DataFrame, id
     similar, decided = similarity_links(free, world, scratch, thresholds, k, dim, names, unwrapped)
     live = world.where(F.coalesce(F.trim("canonical_entity_id"), F.lit("")).eqNullSafe("") & (F.coalesce("status", F.lit("")) != "deprecated") & (F.col("entity_nature") == "event"))
     images = facts.where("medium = 'image'").select("observation_id", "o_date", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "o_place", "o_species")
-    aligned = events.align(images, live.select("entity_id", "e_date", "e_lat", "e_lon", "e_place", "e_species")).withColumn("seed_index", F.lit(ALIGNED))
-    pending = scratch.save(reduce(DataFrame.unionByName, [x.select(*_LINK) for x in (by_id, similar, aligned)]), "pending")
+    mine = scratch.save(reduce(DataFrame.unionByName, [x.select(*_LINK) for x in (by_id, similar)]), "mine")
+    alone, meeting = _alignments(images, live.select("entity_id", "e_date", "e_lat", "e_lon", "e_place", "e_species"), mine, canonical, scratch)
+    aligned = alone.unionByName(meeting)
+    pending = mine.unionByName(meeting.select(*_LINK))
     judged = scratch.save(reconcile(pending, facets), "judged")
-    final = scratch.save(canonicalised(deduplicated(judged).drop("conflicts"), canonical), "links")
+    scratch.collect()
+    final = scratch.save(canonicalised(deduplicated(judged).drop("conflicts"), canonical), "links").unionByName(alone.select(*_LINK))
 
-    proto = pending.where(F.col("entity_id") == derived_id("entity", F.lit("proto"), *_SEED)).select(*_SEED, "entity_id")
+    proto = mine.where(F.col("entity_id") == derived_id("entity", F.lit("proto"), *_SEED)).select(*_SEED, "entity_id")
     none = F.lit(None).cast("array<float>")
     keyed = new.select("entity_id", "entity_nature", "name", "slots", F.lit("proto").alias("status"), F.lit(1.0).alias("confidence"), none.alias("prototype_image_embedding"), none.alias("prototype_text_embedding"), F.lit(0).alias("prototype_count"))
     made = scratch.save(proto_entities(proto, full).unionByName(keyed), "made")
+    scratch.drop("seeds")
+    scratch.collect()
     natures = world.select("entity_id", "entity_nature", "name").unionByName(made.select("entity_id", "entity_nature", "name"))
     references = scratch.save(slotrefs.resolve(slotrefs.symbolic(made), bindings, natures, canonical), "references")
     referred = slotrefs.created(references)
     state = world.select("entity_id", "slots", "name", "prototype_image_embedding", "prototype_text_embedding", "prototype_count").unionByName(made.select("entity_id", "slots", "name", "prototype_image_embedding", "prototype_text_embedding", "prototype_count"))
     named = references.where("outcome = 'created'").select(F.lit("ref").alias("id_type"), F.col("ref_value").alias("id_value"), F.col("namespace").alias("id_namespace"), F.col("target_id").alias("entity_id"), F.lit(slotrefs.MADE_CONFIDENCE).alias("confidence")).distinct()
+    sure = scratch.save(prototypes.eligible(final, thresholds.link).select("observation_id", "entity_id", "posterior", "status"), "sure")  # once, as it is read several times
     counted = lambda df, flag: df.groupBy("observation_id").agg(F.concat(F.lit(f"{flag}:"), F.count(F.lit(1)).cast("string")).alias("flag"))
     clashes = judged.where("conflicts > 0").select("observation_id", "entity_id", F.explode(F.sequence(F.lit(1), "conflicts"))).distinct()
     owners = proto.select("observation_id", "entity_id")
@@ -240,7 +274,7 @@ def resolve(observations: DataFrame, signatures: DataFrame, seeds: DataFrame, id
         "links": final,
         "entities": with_references(made, references).unionByName(referred.select(F.col("target_id").alias("entity_id"), "entity_nature", "name", F.lit(None).cast(f"map<string,{SLOT}>").alias("slots"), F.lit("proto").alias("status"), "confidence", none.alias("prototype_image_embedding"), none.alias("prototype_text_embedding"), F.lit(0).alias("prototype_count"))),
         "bindings": new.select(*KEY, "entity_id", F.col("binding_confidence").alias("confidence")).unionByName(named),
-        "prototypes": prototype_updates(final, vectors, state, observations.select("observation_id", "seq"), thresholds.link),
+        "prototypes": prototype_updates(sure, vectors, state, observations.select("observation_id", "seq"), thresholds.link),
         "participants": events.participants(final, natures),
         "audit": audit(final, thresholds.link),
         "references": references,

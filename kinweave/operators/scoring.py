@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +74,39 @@ def with_margin(scored: DataFrame, *seed: str) -> DataFrame:
     return rows.where("_n = 1").drop("_n").withColumn("second", F.coalesce("second", F.lit(0.0))).withColumn("margin", F.col("score") - F.col("second"))
 
 
+def with_margin_in_order(scored: DataFrame, key: str) -> DataFrame:
+    """As with_margin, of rows that lie together in one partition for each ``key``, as nearest gives them: they are read once, without a shuffle or a sort."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def best(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            number = lambda c, none: rows.column(c).cast(pa.float64()).fill_null(none).to_numpy()
+            score, rank = number("score", float("-inf")), number("rank", 0.0)
+            size = np.diff([*starts, rows.num_rows])
+            # Spark counts NaN as the greatest number.
+            order = np.lexsort((rank, np.where(np.isnan(score), -np.inf, -score), np.repeat(np.arange(len(starts)), size)))
+            second = np.where(size > 1, score[order[np.minimum(starts + 1, rows.num_rows - 1)]], 0.0)
+            second = np.where(np.isneginf(second), 0.0, second)
+            picked = rows.take(pa.array(order[starts])).combine_chunks()
+            for batch in picked.append_column("second", pa.array(second)).append_column("pool_size", pa.array(size, pa.int64())).to_batches():
+                yield batch
+
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            names = rows.column(key).combine_chunks()
+            starts = np.concatenate([[0], np.flatnonzero(pa.compute.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)) + 1]).astype(np.int64)
+            rest = rows.slice(starts[-1])  # more of its rows may follow
+            if len(starts) > 1:
+                yield from best(rows.slice(0, starts[-1]), starts[:-1])
+        if rest is not None and rest.num_rows:
+            yield from best(rest, np.zeros(1, np.int64))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema)
+    return scored.mapInArrow(run, f"{kinds}, second double, pool_size long").withColumn("margin", F.col("score") - F.col("second"))
+
+
 def decide(best: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Adds decision (link, candidate or new), posterior and flags to best candidates (see with_margin).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def collect(self) -> None:
+        """Frees the disk of shuffles that no plan needs any more, which else wait until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self) -> None:
         """Frees all of them, once the result that reads them is stored elsewhere."""
         self.drop("")

@@ -90,6 +90,30 @@ def test_nearest_is_exact(spark, got, monkeypatch):
     assert {tuple(r) for r in found.select("query_id", "entity_id", "rank").collect()} == want
 
 
+def test_nearest_without_shuffles_of_partners(spark, got):
+    """Partners leave the task that found them with what query and entity carry; several spans give the same rows."""
+    rng = np.random.default_rng(5)
+    rows = [(f"e{i:03}", rng.normal(size=8).tolist(), i % 3 or None) for i in range(300)]
+    pool = spark.createDataFrame(rows, "entity_id string, vector array<float>, fact int")
+    queries = spark.createDataFrame([(f"q{i}", v, f"a{i}") for i, (_, v, _) in enumerate(rows[:40])], "query_id string, vector array<float>, told string")
+    found = candidates.nearest(queries, pool, 9, asked=("told",), facts=("fact",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan.split("MapInArrow")[0]
+    assert found.count() == 360 and found.where("cast(substr(entity_id, 2) as int) % 3 <> coalesce(fact, 0) or substr(told, 2) <> substr(query_id, 2)").count() == 0
+    assert got(found) == got(candidates.nearest(queries, pool, 9, asked=("told",), facts=("fact",), span=1 << 11, cell=32))
+    ordered = scoring.with_margin_in_order(found.withColumn("score", F.abs("cosine") % 0.1), "query_id")
+    best = scoring.with_margin(found.withColumn("score", F.abs("cosine") % 0.1), "query_id")
+    assert got(ordered.select("query_id", "entity_id", "score", "second", "margin", "pool_size")) == got(best.select("query_id", "entity_id", "score", "second", "margin", "pool_size"))
+
+
+def test_aligned_by_date(made, got):
+    """The pairs of align for observations with a date, without an exchange or an aggregation after the join of dates."""
+    o = made([("o1", "2024-01-01", 1.0, 2.0, None, []), ("o2", "2024-01-02", None, None, None, [])], "observation_id string, o_date string, o_lat double, o_lon double, o_place string, o_species array<string>")
+    e = made([("e1", "2024-01-01", 1.0, 2.0, None, []), ("e2", "2024-01-01", None, None, None, []), ("e3", None, 1.0, 2.0, None, [])], "entity_id string, e_date string, e_lat double, e_lon double, e_place string, e_species array<string>")
+    links = events.links_of_pairs(events.aligned_by_date(o, e))
+    assert got(links) == got(events.align(o, e)) and links.count() == 2 and "Aggregate" not in links._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_live_pool(made, got):
     e = made([("a", "class", None, "proto", [1.0]), ("b", "class", "a", "proto", [1.0]), ("c", "class", " ", "deprecated", [1.0]), ("d", "event", "", None, [1.0]), ("e", "class", None, "proto", None)], "entity_id string, entity_nature string, canonical_entity_id string, status string, v array<double>")
     assert got(candidates.live_pool(e, "v").select("entity_id")) == [("a",), ("d",)]
